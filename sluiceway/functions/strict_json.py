@@ -28,7 +28,8 @@ def has_huge_number(text: Column) -> Column:
     """True if a number outside string literals does not fit a double."""
     bare = F.regexp_replace(text, STRING_LITERAL, '""')
     numbers = F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(1))
-    beyond = F.exists(numbers, lambda n: F.abs(n.cast("double")) == F.lit(float("inf")))
+    infinite = F.array(F.lit(float("inf")), F.lit(float("-inf")))
+    beyond = F.arrays_overlap(numbers.cast("array<double>"), infinite)
     return text.rlike(MAYBE_HUGE_NUMBER) & beyond
 
 

@@ -13,24 +13,28 @@ REASON = "reason"
 BAD_PAYLOAD = "bad_payload"
 BAD_JSON = "bad_json"
 
+_TEXT = "_text"
+
 
 def decode(df: DataFrame, value: str = "value") -> DataFrame:
     """Add ``doc`` (VARIANT, null if malformed) and ``reason`` (null if valid).
 
     A payload, binary or string, must be valid UTF-8 and exactly one JSON document.
     """
-    for name in (DOC, REASON):
+    for name in (DOC, REASON, _TEXT):
         if name in df.columns:
             raise ValueError(f"Column {name} already exists")
     allow_duplicate_keys(df.sparkSession)
-    readable = F.coalesce(F.is_valid_utf8(F.col(value).cast("string")), F.lit(False))
-    text = F.when(readable, F.col(value).cast("string"))
+    payload = F.col(value).cast("string")
+    readable = df.withColumn(_TEXT, F.when(F.is_valid_utf8(payload), payload))
     # A filter on the outcome would otherwise be pushed below the parse and repeat it.
-    parsed = df.select("*", F.explode(F.array(strict_json.bracketed(text))).alias(DOC))
-    return parsed.withColumn(
-        REASON,
-        F.when(~readable, BAD_PAYLOAD).when(~strict_json.is_single(F.col(DOC)), BAD_JSON),
+    parsed = readable.select(
+        "*", F.explode(F.array(strict_json.bracketed(F.col(_TEXT)))).alias(DOC)
+    )
+    reason = F.when(F.col(_TEXT).isNull(), BAD_PAYLOAD).when(
+        ~strict_json.is_single(F.col(DOC)), BAD_JSON
     )
+    return parsed.withColumn(REASON, reason).drop(_TEXT)
 
 
 def accepted(df: DataFrame) -> DataFrame:

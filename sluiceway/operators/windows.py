@@ -38,28 +38,26 @@ class WindowSpec:
 def arrival_windows(df: DataFrame, ts: str, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Add ``window_no``, ``window_id``, ``window_start`` and ``window_end``."""
     origin = spec.start_of(df, ts)
-    numbered = df.withColumn("window_no", _number(F.col(ts), origin, spec.duration))
-    return _described(numbered, origin, spec.duration)
+    return _described(_numbered(df, ts, origin, spec.duration), origin, spec.duration)
 
 
-def _number(ts: Column, origin: Column, duration: timedelta) -> Column:
-    length = F.lit(duration)
-    age = ts - origin
+def _numbered(df: DataFrame, ts: str, origin: Column, duration: timedelta) -> DataFrame:
+    # A column of its own, so that the origin, mostly a subquery, is named only once.
+    aged = df.withColumn("_age", F.col(ts) - origin)
+    age, length = F.col("_age"), F.lit(duration)
     whole = F.call_function("div", age, length)
     # div rounds toward zero; before the origin it must round down.
     rounded_up = (age < F.lit(timedelta(0))) & (length * whole != age)
-    return F.when(rounded_up, whole).otherwise(whole + 1)
+    number = F.when(rounded_up, whole).otherwise(whole + 1)
+    return aged.withColumn("window_no", number).drop("_age")
 
 
 def _described(df: DataFrame, origin: Column, duration: timedelta) -> DataFrame:
-    length = F.lit(duration)
-    number = F.col("window_no")
-    return df.withColumns(
-        {
-            "window_id": F.concat(F.lit("window-"), number.cast("string")),
-            "window_start": origin + length * (number - 1),
-            "window_end": origin + length * number,
-        }
+    length, number = F.lit(duration), F.col("window_no")
+    return (
+        df.withColumn("window_id", F.concat(F.lit("window-"), number.cast("string")))
+        .withColumn("window_start", origin + length * (number - 1))
+        .withColumn("window_end", F.col("window_start") + length)
     )
 
 
@@ -69,7 +67,7 @@ def window_stats(
     """Rows and distinct batches of every window that has rows."""
     origin = spec.start_of(df, ts)
     stats = (
-        df.select(_number(F.col(ts), origin, spec.duration).alias("window_no"), batch)
+        _numbered(df.select(ts, batch), ts, origin, spec.duration)
         .groupBy("window_no")
         .agg(F.count("*").alias("rows"), F.count_distinct(batch).alias("batches"))
     )
@@ -100,7 +98,7 @@ def closed_windows(
         now = F.lit(as_of.isoformat(sep=" ")).cast(df.schema[ts].dataType)
     origin = spec.start_of(df, ts)
     counts = (
-        df.select(_number(F.col(ts), origin, spec.duration).alias("window_no"))
+        _numbered(df.select(ts), ts, origin, spec.duration)
         .groupBy("window_no")
         .agg(F.count("*").alias("rows"))
     )
@@ -115,10 +113,10 @@ def windows_with_empty(df: DataFrame, ts: str, spec: WindowSpec = WindowSpec())
     and join the row counts in one aggregation instead of a join.
     """
     origin = spec.start_of(df, ts)
-    found = df.select(
-        _number(F.col(ts), origin, spec.duration).alias("window_no"), F.lit(1).alias("n")
-    )
-    last = df.agg(_number(F.max(ts), origin, spec.duration).alias("last"))
+    found = _numbered(df.select(ts), ts, origin, spec.duration)
+    found = found.select("window_no", F.lit(1).alias("n"))
+    last = _numbered(df.agg(F.max(ts).alias("ts")), "ts", origin, spec.duration)
+    last = last.select(F.col("window_no").alias("last"))
     chunk = F.lit(SPINE_CHUNK)
     last_chunk = F.call_function("div", F.col("last") - 1, chunk)
     chunks = last.filter("last >= 1").select(
@@ -139,8 +137,7 @@ def window_partition_stats(
     """Rows per window and key; rows without a key are left out."""
     origin = spec.start_of(df, ts)
     counts = (
-        df.filter(F.col(key).isNotNull())
-        .select(_number(F.col(ts), origin, spec.duration).alias("window_no"), key)
+        _numbered(df.select(ts, key).filter(F.col(key).isNotNull()), ts, origin, spec.duration)
         .groupBy("window_no", key)
         .agg(F.count("*").alias("rows"))
     )
