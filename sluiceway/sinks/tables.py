@@ -167,7 +167,7 @@ def write_batch(
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches below ``path``: the table's columns and ``batch_id``, typed as declared."""
     typed = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    return spark.read.schema(typed).parquet(path)
+    return spark.read.schema(typed).parquet(path).select(*typed.names)
 
 
 def manifest(table: DataFrame, key: str) -> DataFrame:

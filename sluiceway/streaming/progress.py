@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import logging
+from collections import Counter
+
 from pyspark.sql.streaming import StreamingQuery
 
+from sluiceway.plans.ingest import IngestResult
+
+log = logging.getLogger(__name__)
+
+
+class Tally:
+    """Adds up the results of an ingest; pass it as ``on_result``.
+
+    Logs the count of valid messages whenever it passes a multiple of ``every``.
+    """
+
+    def __init__(self, every: int = 1000) -> None:
+        self.every = every
+        self.windows = 0
+        self.valid = 0
+        self.null_keys = 0
+        self.rejected: Counter[str] = Counter()
+
+    def __call__(self, result: IngestResult) -> None:
+        before = self.valid // self.every
+        self.windows += 1
+        self.valid += result.valid
+        self.null_keys += result.null_keys
+        self.rejected.update(result.rejected)
+        if self.valid // self.every > before:
+            log.info("Processed %d messages so far", self.valid)
+
 
 def progress_rows(query: StreamingQuery) -> list[dict]:
-    """Rows and rates per micro-batch, with the running total of those still reported."""
+    """Rows read per micro-batch, with the running total of those still reported.
+
+    A window with rejected messages is read twice, and counts twice here.
+    """
     rows, total = [], 0
     for progress in query.recentProgress:
         total += progress.numInputRows
