@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators import cdc, decode, project, split, windows
 from sluiceway.plans.ingest import typed_messages
-from sluiceway.plans.sample_messages import MESSAGE, SCALARS, event_messages, scalar_messages
+from sluiceway.plans.sample_messages import CODE, MESSAGE, SCALARS, event_messages, scalar_messages
 from sluiceway.schema import message_schema
 from sluiceway.session import scratch_path
 from sluiceway.sinks import tables
@@ -81,16 +81,16 @@ def _typed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _typed_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = scalar_messages(_events(spark, sf_dir))
     typed = typed_messages(messages, SCALARS, keep=("event_id",))
-    return decode.accepted(typed).select("event_id", "flag", "score")
+    return decode.accepted(typed).drop(decode.REASON)
 
 
 def _int32_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode.decode(scalar_messages(_events(spark, sf_dir)))
-    valid = decode.accepted(project.project(decoded, SCALARS, ("event_id", decode.DOC)))
-    wrapped = project.project(
-        valid.withColumnRenamed("code", "or_null"), "code INT", ("event_id", "or_null"), "wrap"
+    or_null = project.project(decoded, CODE, ("event_id", decode.DOC))
+    both = project.project(
+        or_null.withColumnRenamed("code", "or_null"), CODE, ("event_id", "or_null"), "wrap"
     )
-    return wrapped.select("event_id", "or_null", F.col("code").alias("wrapped"))
+    return decode.accepted(both).select("event_id", "or_null", F.col("code").alias("wrapped"))
 
 
 def _required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +218,10 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
 
 
+def _cdc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.cdc_split(_changes(spark, sf_dir), "user_id", "ts", "event_id")
+
+
 def _cdc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.cdc_order(_changes(spark, sf_dir), "user_id", "ts", "event_id")
 
@@ -285,6 +289,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partition_order": _partition_order,
         "written_partitions": _written_partitions,
         "manifest": _manifest,
+        "cdc_split": _cdc_split,
         "cdc_order": _cdc_order,
         "cdc_latest": _cdc_latest,
         "padded_payloads": _padded_payloads,
@@ -473,6 +478,8 @@ def oracle_sql() -> dict[str, str]:
         "manifest": _MESSAGES
         + """SELECT "count", CAST(1 AS BIGINT) AS files, count(*) AS rows FROM valid
             WHERE "count" IS NOT NULL GROUP BY "count" """,
+        "cdc_split": """SELECT event_id, ts, user_id, event_type, value FROM events
+            WHERE user_id IS NOT NULL""",
         "cdc_order": """
             SELECT event_id, ts, user_id, event_type, value,
                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_no

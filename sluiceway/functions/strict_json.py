@@ -1,13 +1,12 @@
-"""Column expressions for strict JSON: one complete document per message, no type coercion.
+"""SQL expressions for strict JSON: one complete document per message, no type coercion.
 
 A message is parsed inside brackets, ``[message]``, so that the parsed value is an
-array of one element and ``$[0]`` addresses the document. Nothing here is a UDF.
+array of one element and ``$[0]`` addresses the document. Nothing here is a UDF. The
+expressions are SQL text because a streaming query builds them anew for every window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 JSON_BLANKS = " \t\r\n"
@@ -24,22 +23,21 @@ SURROGATE_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 SURROGATE = r"\\u[dD][89a-fA-F]"
 
 
-def has_huge_number(text: Column) -> Column:
+def has_huge_number(text: str) -> str:
     """True if a number outside string literals does not fit a double."""
-    bare = F.regexp_replace(text, STRING_LITERAL, '""')
-    numbers = F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(1))
-    infinite = F.array(F.lit(float("inf")), F.lit(float("-inf")))
-    beyond = F.arrays_overlap(numbers.cast("array<double>"), infinite)
-    return text.rlike(MAYBE_HUGE_NUMBER) & beyond
+    return f"""{text} RLIKE r'{MAYBE_HUGE_NUMBER}' AND arrays_overlap(
+        CAST(regexp_extract_all(regexp_replace({text}, r'{STRING_LITERAL}', '""'), r'{NUMBER}')
+            AS ARRAY<DOUBLE>),
+        array(DOUBLE('Infinity'), DOUBLE('-Infinity')))"""
 
 
-def has_lone_surrogate(text: Column) -> Column:
-    without_escapes = F.regexp_replace(text, PLAIN_ESCAPE, "")
-    without_pairs = F.regexp_replace(without_escapes, SURROGATE_PAIR, "")
-    return F.contains(text, F.lit("\\u")) & without_pairs.rlike(SURROGATE)
+def has_lone_surrogate(text: str) -> str:
+    without_escapes = f"regexp_replace({text}, r'{PLAIN_ESCAPE}', '')"
+    without_pairs = f"regexp_replace({without_escapes}, r'{SURROGATE_PAIR}', '')"
+    return f"contains({text}, r'\\u') AND {without_pairs} RLIKE r'{SURROGATE}'"
 
 
-def bracketed(text: Column) -> Column:
+def bracketed(text: str) -> str:
     """``[text]`` as VARIANT, or null if text is certainly not one strict document.
 
     The parser ignores whatever follows the first complete document, so text could
@@ -47,54 +45,57 @@ def bracketed(text: Column) -> Column:
     inside an object, and no text can close both wrappers early. What remains, more
     than one element, is left to :func:`is_single`.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    complete = ~F.contains(text, F.lit("]")) | in_object.isNotNull()
-    not_blank = F.trim(text, F.lit(JSON_BLANKS)) != ""
-    return F.when(
-        not_blank & complete & ~has_lone_surrogate(text) & ~has_huge_number(text), in_array
-    )
+    return f"""CASE WHEN trim(BOTH '{JSON_BLANKS}' FROM {text}) <> ''
+        AND (NOT contains({text}, ']')
+            OR try_parse_json(concat('{{"v":', {text}, '}}')) IS NOT NULL)
+        AND NOT ({has_lone_surrogate(text)})
+        AND NOT ({has_huge_number(text)})
+        THEN try_parse_json(concat('[', {text}, ']')) END"""
 
 
-def is_single(doc: Column) -> Column:
-    return doc.isNotNull() & F.try_variant_get(doc, "$[1]", "variant").isNull()
+def is_single(doc: str) -> str:
+    return f"({doc} IS NOT NULL AND try_variant_get({doc}, '$[1]', 'variant') IS NULL)"
 
 
-def _path(name: str) -> str:
-    return f'$[0]["{name}"]' if "'" in name else f"$[0]['{name}']"
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def is_missing(doc: Column, name: str) -> Column:
-    """No such field: an absent name, or a document that is not an object."""
-    return F.try_variant_get(doc, _path(name), "variant").isNull()
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
+def _get(doc: str, name: str, target: str) -> str:
+    path = f"$[0]['{name}']" if '"' in name else f'$[0]["{name}"]'
+    return f"try_variant_get({doc}, {sql_string(path)}, '{target}')"
 
-def _type_of(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+
+def is_missing(doc: str, name: str) -> str:
+    """No such field: an absent name, or a document that is not an object."""
+    return f"{_get(doc, name, 'variant')} IS NULL"
 
 
-def typed_field(doc: Column, name: str, dtype: T.DataType, int32_overflow: str = "null") -> Column:
+def typed_field(doc: str, name: str, dtype: T.DataType, int32_overflow: str = "null") -> str:
     """The field as ``dtype`` if its JSON type is exactly that, else null."""
-    path = _path(name)
     if isinstance(dtype, T.StringType):
         # Of all JSON types only a string converts to binary.
-        return F.try_variant_get(doc, path, "binary").cast("string")
+        return f"CAST({_get(doc, name, 'binary')} AS STRING)"
+    found = f"schema_of_variant({_get(doc, name, 'variant')})"
     if isinstance(dtype, T.LongType):
-        return F.when(_type_of(doc, path) == "BIGINT", F.try_variant_get(doc, path, "bigint"))
+        return f"IF({found} = 'BIGINT', {_get(doc, name, 'bigint')}, NULL)"
     if isinstance(dtype, T.IntegerType):
         if int32_overflow == "wrap":
             return wrap_int32(typed_field(doc, name, T.LongType()))
-        return F.when(_type_of(doc, path) == "BIGINT", F.try_variant_get(doc, path, "int"))
+        return f"IF({found} = 'BIGINT', {_get(doc, name, 'int')}, NULL)"
     if isinstance(dtype, T.DoubleType):
-        found = _type_of(doc, path)
-        number = found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL")
-        return F.when(number, F.try_variant_get(doc, path, "double"))
+        number = f"{found} IN ('BIGINT', 'DOUBLE') OR startswith({found}, 'DECIMAL')"
+        return f"IF({number}, {_get(doc, name, 'double')}, NULL)"
     if isinstance(dtype, T.BooleanType):
-        return F.when(_type_of(doc, path) == "BOOLEAN", F.try_variant_get(doc, path, "boolean"))
+        return f"IF({found} = 'BOOLEAN', {_get(doc, name, 'boolean')}, NULL)"
     raise ValueError(f"Unsupported data type: {dtype.simpleString()}")
 
 
-def wrap_int32(n: Column) -> Column:
+def wrap_int32(n: str) -> str:
     """The low 32 bits of a 64-bit integer, read as a signed number."""
-    low = n.bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(low >= 2**31, low - F.lit(2**32)).otherwise(low).cast("int")
+    low = f"(({n}) & {2**32 - 1}L)"
+    return f"CAST(IF({low} >= {2**31}L, {low} - {2**32}L, {low}) AS INT)"

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.operators.ordinals import HOT_ROWS, with_ordinal
+from sluiceway.operators.split import split_in_order
+
+
+def cdc_split(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
+    """Sub-partition each key by timestamp: consecutive tasks hold consecutive changes."""
+    return split_in_order(df, key, (ts, seq))
 
 
 def cdc_order(

@@ -25,16 +25,16 @@ def decode(df: DataFrame, value: str = "value") -> DataFrame:
         if name in df.columns:
             raise ValueError(f"Column {name} already exists")
     allow_duplicate_keys(df.sparkSession)
-    payload = F.col(value).cast("string")
-    readable = df.withColumn(_TEXT, F.when(F.is_valid_utf8(payload), payload))
+    payload = f"CAST({strict_json.sql_name(value)} AS STRING)"
+    readable = df.selectExpr("*", f"IF(is_valid_utf8({payload}), {payload}, NULL) AS {_TEXT}")
     # A filter on the outcome would otherwise be pushed below the parse and repeat it.
-    parsed = readable.select(
-        "*", F.explode(F.array(strict_json.bracketed(F.col(_TEXT)))).alias(DOC)
+    parsed = readable.selectExpr("*", f"explode(array({strict_json.bracketed(_TEXT)})) AS {DOC}")
+    return parsed.selectExpr(
+        *map(strict_json.sql_name, df.columns),
+        DOC,
+        f"""CASE WHEN {_TEXT} IS NULL THEN '{BAD_PAYLOAD}'
+            WHEN NOT {strict_json.is_single(DOC)} THEN '{BAD_JSON}' END AS {REASON}""",
     )
-    reason = F.when(F.col(_TEXT).isNull(), BAD_PAYLOAD).when(
-        ~strict_json.is_single(F.col(DOC)), BAD_JSON
-    )
-    return parsed.withColumn(REASON, reason).drop(_TEXT)
 
 
 def accepted(df: DataFrame) -> DataFrame:

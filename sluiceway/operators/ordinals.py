@@ -44,11 +44,11 @@ def with_ordinal(
     if hot is None:
         return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
     hot = F.broadcast(hot) if few else hot
-    same = reduce(and_, (df[key].eqNullSafe(hot[key]) for key in partition_by))
-    small = df.join(hot, same, "left_anti")
-    large = df.join(hot, same, "left_semi")
+    same = _same_keys("d", "h", partition_by)
+    small = df.alias("d").join(hot.alias("h"), same, "left_anti")
+    large = df.alias("d").join(hot.alias("h"), same, "left_semi")
     return small.withColumn(name, F.row_number().over(plain).cast("bigint")).unionByName(
-        _numbered(large, partition_by, order_by, name)
+        _numbered(large, partition_by, order_by, name, few)
     )
 
 
@@ -64,7 +64,9 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame
     return df.sparkSession.createDataFrame(found, hot.schema), True
 
 
-def _numbered(df: DataFrame, keys: list[str], order_by: list[str], name: str) -> DataFrame:
+def _numbered(
+    df: DataFrame, keys: list[str], order_by: list[str], name: str, few_keys: bool = False
+) -> DataFrame:
     order = [*keys, *order_by]
     ranged = (
         df.repartitionByRange(*order)
@@ -91,15 +93,13 @@ def _numbered(df: DataFrame, keys: list[str], order_by: list[str], name: str) ->
     )
     if not keys:
         return overall
-    return _restarted(overall, keys, name)
-
-
-def _restarted(overall: DataFrame, keys: list[str], name: str) -> DataFrame:
     starts = overall.groupBy(*keys).agg((F.min(name) - 1).alias("_start"))
-    columns = [c for c in overall.columns if c != name]
-    joined = overall.alias("o").join(starts.alias("s"), _same_keys("o", "s", keys))
-    return joined.select(
-        *[F.col(f"o.{c}") for c in columns], (F.col(f"o.{name}") - F.col("s._start")).alias(name)
+    starts = F.broadcast(starts) if few_keys else starts
+    columns = [F.col("o." + c) for c in df.columns]
+    return (
+        overall.alias("o")
+        .join(starts.alias("s"), _same_keys("o", "s", keys))
+        .select(*columns, (F.col(f"o.{name}") - F.col("s._start")).alias(name))
     )
 
 

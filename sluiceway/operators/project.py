@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sluiceway.functions import strict_json
+from sluiceway.functions.strict_json import is_missing, sql_name, sql_string, typed_field
 from sluiceway.operators.decode import DOC, REASON, accepted
 from sluiceway.schema import message_schema, no_repeated_names
 
@@ -31,8 +27,8 @@ def project(
     """
     schema = message_schema(schema)
     _check_options(schema, keep, int32_overflow)
-    reason = F.coalesce(F.col(REASON), _required_reason(schema, int32_overflow))
-    return df.select(*keep, *_typed(schema, int32_overflow), reason.alias(REASON))
+    reason = f"coalesce({REASON}, {_required_reason(schema, int32_overflow)}) AS {REASON}"
+    return df.selectExpr(*map(sql_name, keep), *_typed(schema, int32_overflow), reason)
 
 
 def project_strict(
@@ -44,44 +40,43 @@ def project_strict(
     """Typed columns of the valid rows; the job fails at the first required field not there."""
     schema = message_schema(schema)
     _check_options(schema, keep, int32_overflow)
-    doc = F.col(DOC)
-    fail = F.when(F.col(REASON).isNotNull(), F.lit(True))
-    for field in _required(schema):
-        fail = fail.when(
-            strict_json.is_missing(doc, field.name),
-            F.raise_error(F.lit(f"Missing required field: {field.name}")),
-        )
-    for field in _required(schema):
-        fail = fail.when(
-            strict_json.typed_field(doc, field.name, field.dataType, int32_overflow).isNull(),
-            F.raise_error(F.lit(f"Null in required field: {field.name}")),
-        )
+    required = _required(schema)
+    checks = [f"WHEN {REASON} IS NOT NULL THEN true"]
+    checks += [
+        f"WHEN {is_missing(DOC, f.name)} THEN "
+        f"raise_error({sql_string(f'Missing required field: {f.name}')})"
+        for f in required
+    ]
+    checks += [
+        f"WHEN {typed_field(DOC, f.name, f.dataType, int32_overflow)} IS NULL THEN "
+        f"raise_error({sql_string(f'Null in required field: {f.name}')})"
+        for f in required
+    ]
     # Checked in a filter, which column pruning cannot remove.
-    checked = accepted(df).filter(fail.otherwise(F.lit(True)))
-    return checked.select(*keep, *_typed(schema, int32_overflow))
+    checked = accepted(df).filter(f"CASE {' '.join(checks)} ELSE true END")
+    return checked.selectExpr(*map(sql_name, keep), *_typed(schema, int32_overflow))
 
 
 def _required(schema: T.StructType) -> list[T.StructField]:
     return [field for field in schema.fields if not field.nullable]
 
 
-def _typed(schema: T.StructType, int32_overflow: str) -> list[Column]:
+def _typed(schema: T.StructType, int32_overflow: str) -> list[str]:
     return [
-        strict_json.typed_field(F.col(DOC), f.name, f.dataType, int32_overflow).alias(f.name)
+        f"{typed_field(DOC, f.name, f.dataType, int32_overflow)} AS {sql_name(f.name)}"
         for f in schema.fields
     ]
 
 
-def _required_reason(schema: T.StructType, int32_overflow: str) -> Column:
+def _required_reason(schema: T.StructType, int32_overflow: str) -> str:
     required = _required(schema)
     if not required:
-        return F.lit(None).cast("string")
-    doc = F.col(DOC)
-    missing = [strict_json.is_missing(doc, f.name) for f in required]
-    null = [
-        strict_json.typed_field(doc, f.name, f.dataType, int32_overflow).isNull() for f in required
-    ]
-    return F.when(reduce(or_, missing), MISSING_REQUIRED).when(reduce(or_, null), NULL_REQUIRED)
+        return "NULL"
+    missing = " OR ".join(is_missing(DOC, f.name) for f in required)
+    null = " OR ".join(
+        f"{typed_field(DOC, f.name, f.dataType, int32_overflow)} IS NULL" for f in required
+    )
+    return f"CASE WHEN {missing} THEN '{MISSING_REQUIRED}' WHEN {null} THEN '{NULL_REQUIRED}' END"
 
 
 def _check_options(schema: T.StructType, keep: tuple[str, ...], int32_overflow: str) -> None:

@@ -2,54 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 MESSAGE = "name STRING, size STRING, count BIGINT"
-SCALARS = "flag BOOLEAN, score DOUBLE, code INT"
-
-
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 0
+SCALARS = "flag BOOLEAN, score DOUBLE"
+CODE = "code INT"
+
+_HEAD = """concat('{"name":"', event_type, '","size":"', if(value < 10, 'small', 'large'), '"')"""
+_DIGIT = "string(user_id % 10)"
+_WHOLE = f"""concat({_HEAD}, ',"count":', {_DIGIT}, '}}')"""
+
+_EVENT = f"""CASE
+    WHEN event_id % 97 = 0 THEN '{{bad'
+    WHEN event_id % 89 = 0 THEN concat({_WHOLE}, ' trailing')
+    WHEN event_id % 83 = 0 THEN concat({_HEAD}, ',"count":"', {_DIGIT}, '"}}')
+    WHEN event_id % 79 = 0 THEN concat({_HEAD}, ',"count":', {_DIGIT}, '.5}}')
+    WHEN event_id % 73 = 0 THEN concat({_HEAD}, '}}')
+    WHEN event_id % 71 = 0 THEN concat({_HEAD}, ',"count":null}}')
+    ELSE {_WHOLE} END AS value"""
+
+_FLAG = """CASE WHEN event_id % 11 = 0 THEN '"true"' WHEN event_id % 6 = 0 THEN '1'
+    WHEN event_id % 4 = 0 THEN 'false' ELSE 'true' END"""
+_SCORE = """CASE WHEN event_id % 7 = 0 THEN '"1.5"'
+    WHEN event_id % 5 = 0 THEN string(user_id)
+    WHEN event_id % 3 = 0 THEN concat(string(user_id), '.25')
+    WHEN event_id % 2 = 0 THEN concat(string(user_id), 'e2') ELSE 'null' END"""
+_SCALAR = f"""concat('{{"flag":', {_FLAG}, ',"score":', {_SCORE},
+    ',"code":', string(event_id * 1000003), '}}') AS value"""
 
 
 def event_messages(events: DataFrame) -> DataFrame:
     """``event_id``, ``ts`` and ``value``: ``{"name", "size", "count": user_id % 10}``."""
-    size = F.when(F.col("value") < 10, "small").otherwise("large")
-    head = _text('{"name":"', F.col("event_type"), '","size":"', size, '"')
-    digit = F.col("user_id") % 10
-    whole = _text(head, ',"count":', digit, "}")
-    value = (
-        F.when(_every(97), "{bad")
-        .when(_every(89), _text(whole, " trailing"))
-        .when(_every(83), _text(head, ',"count":"', digit, '"}'))
-        .when(_every(79), _text(head, ',"count":', digit, ".5}"))
-        .when(_every(73), _text(head, "}"))
-        .when(_every(71), _text(head, ',"count":null}'))
-        .otherwise(whole)
-    )
-    return events.select("event_id", "ts", value.alias("value"))
+    return events.selectExpr("event_id", "ts", _EVENT)
 
 
 def scalar_messages(events: DataFrame) -> DataFrame:
     """``event_id`` and ``value``: ``{"flag", "score", "code": event_id * 1000003}``."""
-    score = (
-        F.when(_every(7), '"1.5"')
-        .when(_every(5), _text(F.col("user_id")))
-        .when(_every(3), _text(F.col("user_id"), ".25"))
-        .when(_every(2), _text(F.col("user_id"), "e2"))
-        .otherwise("null")
-    )
-    flag = (
-        F.when(_every(11), '"true"')
-        .when(_every(6), "1")
-        .when(_every(4), "false")
-        .otherwise("true")
-    )
-    code = F.col("event_id") * 1000003
-    value = _text('{"flag":', flag, ',"score":', score, ',"code":', code, "}")
-    return events.select("event_id", value.alias("value"))
+    return events.selectExpr("event_id", _SCALAR)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
 
 def build_session(app_name: str = "sluiceway", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or get) a session with the settings the operators expect."""
@@ -48,7 +53,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    paths = _temporary.get()
+    if paths is not None:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -61,3 +70,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what :func:`stored` wrote meanwhile in this thread.
+
+    Results that read such tables must be written or collected inside.
+    """
+    paths: list[str] = []
+    token = _temporary.set(paths)
+    try:
+        yield
+    finally:
+        _temporary.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(
+                target, True
+            )

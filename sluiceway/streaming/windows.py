@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway.operators.split import keyed
 from sluiceway.operators.windows import DEFAULT_DURATION, count_windows, tumbling
-from sluiceway.sinks.tables import BATCH, batch_path
+from sluiceway.session import temporary_tables
+from sluiceway.sinks.tables import batch_path
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -75,8 +76,10 @@ def append_files(
     return writer.start()
 
 
-def write_count_windows(df: DataFrame, batch_id: int, path: str, size: int, order_by: list[str]) -> int:
-    """Number the rows of a micro-batch after those of all earlier ones; the new total.
+def write_count_windows(
+    df: DataFrame, batch_id: int, path: str, size: int, order_by: list[str]
+) -> int:
+    """Number the rows of a micro-batch after those of the ones before; the new total.
 
     Rows go to ``path/rows``, with ``ordinal`` and ``batch_no``, and the running total to
     ``path/totals``, each in a directory of the micro-batch, so that a repeat overwrites it.
@@ -84,12 +87,15 @@ def write_count_windows(df: DataFrame, batch_id: int, path: str, size: int, orde
     spark = df.sparkSession
     start = 0
     if batch_id > 0:
-        totals = spark.read.schema(f"total BIGINT, {BATCH} BIGINT").parquet(f"{path}/totals")
-        start = totals.filter(F.col(BATCH) < batch_id).agg(F.max("total")).first()[0] or 0
-    numbered = count_windows(df, size, order_by, start)
-    numbered.write.mode("overwrite").parquet(batch_path(f"{path}/rows", batch_id))
-    written = spark.read.schema(numbered.schema).parquet(batch_path(f"{path}/rows", batch_id))
-    total = start + written.count()
+        before = spark.read.schema("total BIGINT").parquet(
+            batch_path(f"{path}/totals", batch_id - 1)
+        )
+        start = before.first()["total"]
+    target = batch_path(f"{path}/rows", batch_id)
+    with temporary_tables(spark):
+        numbered = count_windows(df, size, order_by, start)
+        numbered.write.mode("overwrite").parquet(target)
+    total = start + spark.read.schema(numbered.schema).parquet(target).count()
     row = spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
     row.write.mode("overwrite").parquet(batch_path(f"{path}/totals", batch_id))
     return total
