@@ -120,7 +120,9 @@ def write_partitioned(
 ) -> None:
     """One Parquet write for all keys: a directory per key, below those of ``outer``."""
     rows = clustered(keyed(df, key), [*outer, key], order_by, salt)
-    rows.write.mode(mode).partitionBy(*outer, key).parquet(path)
+    # Static, so that overwriting never leaves directories of keys that are gone.
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "static")
+    writer.partitionBy(*outer, key).parquet(path)
 
 
 def batch_path(path: str, batch_id: int) -> str:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway.operators.cdc import cdc_latest, last_changes
+from sluiceway.operators.windows import DEFAULT_DURATION
 from sluiceway.sinks.tables import batch_path, read_batches
+from sluiceway.streaming.windows import for_each_window
 
 
 def record_changes(df: DataFrame, batch_id: int, path: str, key: str, ts: str, seq: str) -> None:
@@ -14,9 +19,34 @@ def record_changes(df: DataFrame, batch_id: int, path: str, key: str, ts: str, s
     last_changes(df, key, ts, seq).write.mode("overwrite").parquet(batch_path(path, batch_id))
 
 
+def follow_changes(
+    stream: DataFrame,
+    path: str,
+    key: str,
+    ts: str,
+    seq: str,
+    checkpoint: str,
+    every: timedelta = DEFAULT_DURATION,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Run :func:`record_changes` on every window of a stream."""
+
+    def handle(window: DataFrame, batch_id: int) -> None:
+        record_changes(window, batch_id, path, key, ts, seq)
+
+    return for_each_window(stream, handle, checkpoint, every, available_now)
+
+
 def current_rows(
-    spark: SparkSession, path: str, schema: T.StructType, key: str, ts: str, seq: str, is_delete: Column
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key: str,
+    ts: str,
+    seq: str,
+    is_delete: Column,
 ) -> DataFrame:
+    """The rows that are not deleted, as of all changes recorded."""
     changes = read_batches(spark, path, schema).select(*schema.names)
     return cdc_latest(changes, key, ts, seq, is_delete)
 

@@ -99,3 +99,20 @@ def write_count_windows(
     row = spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
     row.write.mode("overwrite").parquet(batch_path(f"{path}/totals", batch_id))
     return total
+
+
+def follow_count_windows(
+    stream: DataFrame,
+    path: str,
+    size: int,
+    order_by: list[str],
+    checkpoint: str,
+    every: timedelta = DEFAULT_DURATION,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Run :func:`write_count_windows` on every micro-batch of a stream."""
+
+    def handle(df: DataFrame, batch_id: int) -> None:
+        write_count_windows(df, batch_id, path, size, order_by)
+
+    return for_each_window(stream, handle, checkpoint, every, available_now)
