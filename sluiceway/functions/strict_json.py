@@ -84,9 +84,7 @@ def typed_field(doc: str, name: str, dtype: T.DataType, int32_overflow: str = "n
     if isinstance(dtype, T.LongType):
         return f"IF({found} = 'BIGINT', {_get(doc, name, 'bigint')}, NULL)"
     if isinstance(dtype, T.IntegerType):
-        if int32_overflow == "wrap":
-            return wrap_int32(typed_field(doc, name, T.LongType()))
-        return f"IF({found} = 'BIGINT', {_get(doc, name, 'int')}, NULL)"
+        return as_int32(typed_field(doc, name, T.LongType()), int32_overflow)
     if isinstance(dtype, T.DoubleType):
         number = f"{found} IN ('BIGINT', 'DOUBLE') OR startswith({found}, 'DECIMAL')"
         return f"IF({number}, {_get(doc, name, 'double')}, NULL)"
@@ -95,7 +93,9 @@ def typed_field(doc: str, name: str, dtype: T.DataType, int32_overflow: str = "n
     raise ValueError(f"Unsupported data type: {dtype.simpleString()}")
 
 
-def wrap_int32(n: str) -> str:
-    """The low 32 bits of a 64-bit integer, read as a signed number."""
-    low = f"(({n}) & {2**32 - 1}L)"
-    return f"CAST(IF({low} >= {2**31}L, {low} - {2**32}L, {low}) AS INT)"
+def as_int32(n: str, overflow: str = "null") -> str:
+    """A 64-bit integer as 32 bits: null beyond the range, or with "wrap" its low 32 bits."""
+    if overflow == "wrap":
+        return f"CAST(((({n}) & {2**32 - 1}L) ^ {2**31}L) - {2**31}L AS INT)"
+    # A cast that fails would raise and catch an error for every such row.
+    return f"IF({n} BETWEEN {-(2**31)} AND {2**31 - 1}, CAST({n} AS INT), NULL)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sluiceway.functions.strict_json import is_missing, sql_name, sql_string, typed_field
+from sluiceway.functions.strict_json import as_int32, is_missing, sql_name, sql_string, typed_field
 from sluiceway.operators.decode import DOC, REASON, accepted
 from sluiceway.schema import message_schema, no_repeated_names
 
@@ -28,7 +28,8 @@ def project(
     schema = message_schema(schema)
     _check_options(schema, keep, int32_overflow)
     reason = f"coalesce({REASON}, {_required_reason(schema, int32_overflow)}) AS {REASON}"
-    return df.selectExpr(*map(sql_name, keep), *_typed(schema, int32_overflow), reason)
+    typed = df.selectExpr(*map(sql_name, keep), *_typed(schema), reason)
+    return _narrowed(typed, schema, int32_overflow)
 
 
 def project_strict(
@@ -54,20 +55,38 @@ def project_strict(
     ]
     # Checked in a filter, which column pruning cannot remove.
     checked = accepted(df).filter(f"CASE {' '.join(checks)} ELSE true END")
-    return checked.selectExpr(*map(sql_name, keep), *_typed(schema, int32_overflow))
+    typed = checked.selectExpr(*map(sql_name, keep), *_typed(schema))
+    return _narrowed(typed, schema, int32_overflow)
 
 
 def _required(schema: T.StructType) -> list[T.StructField]:
     return [field for field in schema.fields if not field.nullable]
 
 
-def _typed(schema: T.StructType, int32_overflow: str) -> list[str]:
+def _typed(schema: T.StructType) -> list[str]:
+    """The fields, those of 32 bits still with 64."""
+    wide = {T.IntegerType(): T.LongType()}
     return [
-        f"{typed_field(DOC, f.name, f.dataType, int32_overflow)} AS {sql_name(f.name)}"
+        f"{typed_field(DOC, f.name, wide.get(f.dataType, f.dataType))} AS {sql_name(f.name)}"
         for f in schema.fields
     ]
 
 
+def _narrowed(typed: DataFrame, schema: T.StructType, int32_overflow: str) -> DataFrame:
+    """A second step, so that an integer compared with its bounds is read only once."""
+    narrow = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegerType)}
+    if not narrow:
+        return typed
+    return typed.selectExpr(
+        *[
+            f"{as_int32(sql_name(c), int32_overflow)} AS {sql_name(c)}"
+            if c in narrow
+            else sql_name(c)
+            for c in typed.columns
+        ]
+    )
+
+
 def _required_reason(schema: T.StructType, int32_overflow: str) -> str:
     required = _required(schema)
     if not required:
