@@ -149,8 +149,9 @@ def _tumbling_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _window_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = _typed(spark, sf_dir, "ts")
-    return windows.window_partition_stats(typed, "ts", "count", SIX_HOURS)
+    start = windows.first_arrival(_events(spark, sf_dir), "ts")
+    spec = windows.WindowSpec(SIX_HOURS.duration, start)
+    return windows.window_partition_stats(_typed(spark, sf_dir, "ts"), "ts", "count", spec)
 
 
 # Splitting by key
@@ -352,7 +353,7 @@ WITH messages AS (
 def _numbered(table: str, columns: str, micros: int) -> str:
     """Rows of a table with the number of their arrival window, and where windows start."""
     return f"""
-    origin AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM {table}),
+    origin AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM events),
     numbered AS (
         SELECT {columns}, t0, t1, (epoch_us(ts) - epoch_us(t0)) // {micros} + 1 AS window_no
         FROM {table}, origin
@@ -495,7 +496,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT event_id, event_id % 10 AS worker, (event_id // 10) % 100000 AS id
                 FROM events
             ), ends AS (
-                SELECT event_id, worker, '","id":' || id || ',"message":"Message ' || id || '"}' AS tail
+                SELECT event_id, worker,
+                    '","id":' || id || ',"message":"Message ' || id || '"}' AS tail
                 FROM sent
             ), texts AS (
                 SELECT event_id, worker,

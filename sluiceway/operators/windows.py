@@ -20,10 +20,11 @@ SPINE_CHUNK = 100_000
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """Length of the windows, and where the first one starts."""
+    """Length of the windows, and where the first one starts: a time, or a column with one
+    such as the first arrival in another DataFrame, or by default the first arrival."""
 
     duration: timedelta = DEFAULT_DURATION
-    origin: datetime | None = None
+    origin: datetime | Column | None = None
 
     def __post_init__(self) -> None:
         if self.duration <= timedelta(0):
@@ -31,10 +32,16 @@ class WindowSpec:
 
     def start_of(self, df: DataFrame, ts: str) -> Column:
         if self.origin is None:
-            return df.select(F.min(ts)).scalar()
+            return first_arrival(df, ts)
+        if isinstance(self.origin, Column):
+            return self.origin
         return F.lit(self.origin.isoformat(sep=" ")).cast(df.schema[ts].dataType)
 
 
+def first_arrival(df: DataFrame, ts: str) -> Column:
+    return df.select(F.min(ts)).scalar()
+
+
 def arrival_windows(df: DataFrame, ts: str, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Add ``window_no``, ``window_id``, ``window_start`` and ``window_end``."""
     origin = spec.start_of(df, ts)
@@ -161,4 +168,5 @@ def count_windows(df: DataFrame, size: int, order_by: list[str], start: int = 0)
     if size < 1:
         raise ValueError("a count window holds at least one row")
     numbered = with_ordinal(df, order_by).withColumn("ordinal", F.col("ordinal") + start)
-    return numbered.withColumn("batch_no", F.call_function("div", F.col("ordinal") - 1, F.lit(size)))
+    batch_no = F.call_function("div", F.col("ordinal") - 1, F.lit(size))
+    return numbered.withColumn("batch_no", batch_no)

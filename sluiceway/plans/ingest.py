@@ -29,6 +29,7 @@ from sluiceway.sinks.tables import (
     write_partitioned,
 )
 
+_RAW = "_raw"
 REASONS = (BAD_PAYLOAD, BAD_JSON, MISSING_REQUIRED, NULL_REQUIRED)
 
 
@@ -75,24 +76,23 @@ def ingest_batch(
 
     The rows are counted while they are written. Only if some were rejected does a
     second job write their raw value and reason below ``dead_letters``. With ``window``
-    the rows lie in a directory per arrival window, by the time in ``ts``. Running the
-    same batch again overwrites it.
+    the rows lie in a directory per arrival window, by the time in ``ts`` and counted from
+    the first message. Running the same batch again overwrites it.
     """
     schema = message_schema(schema)
-    kept = tuple(dict.fromkeys(c for c in (value, ts if window else None) if c))
-    apart = {c: f"_{c}" for c in kept}
-    renamed = messages.select(*[F.col(c).alias(name) for c, name in apart.items()])
-    typed = typed_messages(renamed, schema, apart[value], tuple(apart.values()), int32_overflow)
+    outer: tuple[str, ...] = ()
+    if window is not None:
+        messages, outer = arrival_windows(messages, ts, window), ("window_no",)
+    # Renamed, because the message may have a field of that name.
+    raw = messages.select(F.col(value).alias(_RAW), *outer)
+    typed = typed_messages(raw, schema, _RAW, (_RAW, *outer), int32_overflow)
     no_key = F.count_if(F.col(REASON).isNull() & F.col(key).isNull()).alias("null_keys")
     counts: dict[str, int] = {}
 
     def write() -> None:
         observation = Observation()
         observed = typed.observe(observation, *outcome_metrics(REASONS), no_key)
-        rows, outer = accepted(observed), ()
-        if window is not None:
-            rows, outer = arrival_windows(rows, apart[ts], window), ("window_no",)
-        rows = rows.select(*outer, *schema.names)
+        rows = accepted(observed).select(*outer, *schema.names)
         target = batch_path(path, batch_id)
         write_partitioned(rows, target, key, outer=outer, mode="overwrite", salt=salt)
         counts.update(observation.get)
@@ -102,6 +102,6 @@ def ingest_batch(
         raise WriteFailed(f"batch {batch_id} failed in {max_attempts} attempts") from error
     refused = {reason: counts[reason] for reason in REASONS if counts[reason]}
     if dead_letters and refused:
-        letters = rejected(typed).select(F.col(apart[value]).alias("value"), REASON)
+        letters = rejected(typed).select(F.col(_RAW).alias("value"), REASON)
         letters.write.mode("overwrite").parquet(batch_path(dead_letters, batch_id))
     return IngestResult(batch_id, attempt, counts["valid"], counts["null_keys"], refused)

@@ -18,7 +18,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 _temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
 
 
-def build_session(app_name: str = "sluiceway", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(
+    app_name: str = "sluiceway", master: str | None = None, **conf: str
+) -> SparkSession:
     """Create (or get) a session with the settings the operators expect."""
     builder = (
         SparkSession.builder.appName(app_name)

@@ -44,7 +44,9 @@ def rest_catalog_conf(
     return conf
 
 
-def commit_properties(max_attempts: int = MAX_ATTEMPTS, delay: float = RETRY_DELAY) -> dict[str, str]:
+def commit_properties(
+    max_attempts: int = MAX_ATTEMPTS, delay: float = RETRY_DELAY
+) -> dict[str, str]:
     """Iceberg table properties with which the table format itself retries commits."""
     wait = str(int(delay * 1000))
     return {

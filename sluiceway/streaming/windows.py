@@ -41,7 +41,8 @@ def for_each_window(
         writer = writer.queryName(name)
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{every // timedelta(milliseconds=1)} milliseconds").start()
+    interval = f"{every // timedelta(milliseconds=1)} milliseconds"
+    return writer.trigger(processingTime=interval).start()
 
 
 def event_time_counts(
