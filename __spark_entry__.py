@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 from datetime import timedelta
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ SIX_HOURS = windows.WindowSpec(timedelta(hours=6))
 COUNT_SIZE = 1000
 FIRST_N = 1000
 SECONDS = 10
+FEW_ROWS = 67
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -185,11 +190,20 @@ def _partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.partition_count(_typed(spark, sf_dir), "count")
 
 
-def _partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batched_events(spark, sf_dir).select(
+def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched_events(spark, sf_dir).select(
         "event_id", "batch_id", (F.col("user_id") % 10).alias("key")
     )
-    return split.partition_order(rows, "key", ["batch_id", "event_id"])
+
+
+def _partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.partition_order(_keyed_events(spark, sf_dir), "key", ["batch_id", "event_id"])
+
+
+def _partition_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with every key numbered across tasks as very large ones are."""
+    rows = _keyed_events(spark, sf_dir)
+    return split.partition_order(rows, "key", ["batch_id", "event_id"], hot_rows=FEW_ROWS)
 
 
 # Sinks
@@ -227,6 +241,12 @@ def _cdc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.cdc_order(_changes(spark, sf_dir), "user_id", "ts", "event_id")
 
 
+def _cdc_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with some users numbered across tasks and the others not."""
+    changes = _changes(spark, sf_dir)
+    return cdc.cdc_order(changes, "user_id", "ts", "event_id", hot_rows=FEW_ROWS)
+
+
 def _cdc_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = F.col("event_type") == "error"
     return cdc.cdc_latest(_changes(spark, sf_dir), "user_id", "ts", "event_id", deleted)
@@ -288,10 +308,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partition_sizes": _partition_sizes,
         "partition_count": _partition_count,
         "partition_order": _partition_order,
+        "partition_order_hot": _partition_order_hot,
         "written_partitions": _written_partitions,
         "manifest": _manifest,
         "cdc_split": _cdc_split,
         "cdc_order": _cdc_order,
+        "cdc_order_hot": _cdc_order_hot,
         "cdc_latest": _cdc_latest,
         "padded_payloads": _padded_payloads,
         "worker_throughput": _worker_throughput,
@@ -385,6 +407,17 @@ def _tumbling_sql(interval: str) -> str:
 def oracle_sql() -> dict[str, str]:
     """For each query, the SQL that DuckDB runs on the same tables."""
     batched = "SELECT *, event_id // 100 AS batch_id FROM events"
+    partition_order = f"""
+        SELECT event_id, batch_id, key,
+            row_number() OVER (PARTITION BY key ORDER BY batch_id, event_id) AS position
+        FROM (SELECT event_id, batch_id, user_id % 10 AS key FROM ({batched}))
+        WHERE key IS NOT NULL
+    """
+    cdc_order = """
+        SELECT event_id, ts, user_id, event_type, value,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_no
+        FROM events
+    """
     stats = f"""
         WITH batched AS ({batched}), {_numbered("batched", "batch_id", _6H)}, stats AS (
             SELECT {_described(_6H)}, count(*) AS rows, count(DISTINCT batch_id) AS batches
@@ -469,11 +502,8 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT "count", count(*) AS rows FROM valid
             WHERE "count" IS NOT NULL GROUP BY "count" """,
         "partition_count": _MESSAGES + 'SELECT count(DISTINCT "count") AS partitions FROM valid',
-        "partition_order": f"""
-            SELECT event_id, batch_id, key,
-                row_number() OVER (PARTITION BY key ORDER BY batch_id, event_id) AS position
-            FROM (SELECT event_id, batch_id, user_id % 10 AS key FROM ({batched}))
-            WHERE key IS NOT NULL""",
+        "partition_order": partition_order,
+        "partition_order_hot": partition_order,
         "written_partitions": _MESSAGES
         + 'SELECT name, size, "count" FROM valid WHERE "count" IS NOT NULL',
         "manifest": _MESSAGES
@@ -481,10 +511,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE "count" IS NOT NULL GROUP BY "count" """,
         "cdc_split": """SELECT event_id, ts, user_id, event_type, value FROM events
             WHERE user_id IS NOT NULL""",
-        "cdc_order": """
-            SELECT event_id, ts, user_id, event_type, value,
-                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_no
-            FROM events""",
+        "cdc_order": cdc_order,
+        "cdc_order_hot": cdc_order,
         "cdc_latest": """
             SELECT event_id, ts, user_id, event_type, value FROM (
                 SELECT *, row_number() OVER (

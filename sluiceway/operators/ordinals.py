@@ -12,13 +12,15 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluiceway.session import stored
 
 # Keys with more rows than this are numbered across tasks.
 HOT_ROWS = 4_000_000
-# At most this many hot keys are sent to every executor.
+# At most this many hot keys, of these types, are sent to every executor unasked.
 BROADCAST_KEYS = 100_000
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -53,15 +55,19 @@ def with_ordinal(
 
 
 def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, bool]:
-    """The keys with more than ``hot_rows`` rows, and whether they are few enough to broadcast."""
+    """The keys with more than ``hot_rows`` rows, and whether they are certainly small.
+
+    Otherwise they are stored, and Spark broadcasts them only if their files are small.
+    """
     hot = df.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows)
     hot = hot.select(*keys)
-    found = hot.limit(BROADCAST_KEYS + 1).collect()
-    if not found:
-        return None, True
-    if len(found) > BROADCAST_KEYS:
-        return stored(hot, "hot-keys"), False
-    return df.sparkSession.createDataFrame(found, hot.schema), True
+    if all(isinstance(df.schema[key].dataType, FIXED_WIDTH) for key in keys):
+        found = hot.limit(BROADCAST_KEYS + 1).collect()
+        if len(found) <= BROADCAST_KEYS:
+            few = df.sparkSession.createDataFrame(found, hot.schema) if found else None
+            return few, True
+    kept = stored(hot, "hot-keys")
+    return (None if kept.isEmpty() else kept), False
 
 
 def _numbered(
@@ -94,7 +100,7 @@ def _numbered(
     if not keys:
         return overall
     starts = overall.groupBy(*keys).agg((F.min(name) - 1).alias("_start"))
-    starts = F.broadcast(starts) if few_keys else starts
+    starts = F.broadcast(starts) if few_keys else stored(starts, "key-starts")
     columns = [F.col("o." + c) for c in df.columns]
     return (
         overall.alias("o")
