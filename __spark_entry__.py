@@ -20,6 +20,14 @@ from sluiceway.session import scratch_path
 from sluiceway.sinks import tables
 from sluiceway.sources import generate
 
+try:
+    import corpus_pipeline
+    from sluiceway.llm import queries as training_data
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "sluiceway.llm"):
+        raise
+    corpus_pipeline = training_data = None
+
 FIFTEEN_SECONDS = windows.WindowSpec(timedelta(seconds=15))
 SIX_HOURS = windows.WindowSpec(timedelta(hours=6))
 COUNT_SIZE = 1000
@@ -279,6 +287,19 @@ def _total_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.total_throughput(_sent(spark, sf_dir), "worker", SECONDS)
 
 
+def _training_data_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if training_data is None:
+        return {}
+    return training_data.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def _training_data_sql() -> dict[str, str]:
+    if training_data is None:
+        return {}
+    whole = corpus_pipeline.ORACLE_SQL
+    return training_data.oracle_sql() | ({"pipeline": whole} if whole else {})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes (spark, sf_dir)."""
     return {
@@ -318,6 +339,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "padded_payloads": _padded_payloads,
         "worker_throughput": _worker_throughput,
         "total_throughput": _total_throughput,
+        **_training_data_queries(),
     }
 
 
@@ -544,4 +566,5 @@ def oracle_sql() -> dict[str, str]:
                 CAST(count(*) AS DOUBLE) / {SECONDS} / count(DISTINCT event_id % 10)
                     AS per_second_per_worker
             FROM events""",
+        **_training_data_sql(),
     }
