@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # ASCII letters only: every other byte of a UTF-8 text stays as it is.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -19,10 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows and bytes, so that long texts fit a Python worker."""
+def prepare(spark: SparkSession) -> None:
+    """Settings that the Python functions of this package rely on.
+
+    Arrow batches hold few rows and bytes, so that long texts fit a Python worker. Workers
+    look for this package where the driver has it; on a cluster it is installed or given
+    with ``--py-files``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
 def fold(key: str, parts: int) -> Column:

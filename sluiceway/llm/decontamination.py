@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import bounded_batches, record
+from sluiceway.llm.common import prepare, record
 from sluiceway.session import stored
 
 WINDOW = 10
@@ -170,7 +170,7 @@ def find_benchmark(
     benchmark hits nothing. The patterns of a pass, at most about ``pass_bytes`` of text,
     go to the tasks with the function; between two passes the rows are stored.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     parts = passes(benchmark, item, item_text, pass_bytes)
 
     def scan(rows: DataFrame, part: tuple[int, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontamination
+from sluiceway.llm import decontamination, packing
 from sluiceway.llm.common import table
 
 
@@ -50,9 +50,14 @@ FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op7_pack": op7_pack,
     }
 
 
