@@ -293,7 +293,7 @@ def pack_pieces(
             F.count("*").alias("pieces"),
             F.first("bins").alias("bins"),
             F.first("bound").alias("bound"),
-            F.count_if("exchanged").alias("exchanged"),
+            F.count_if(F.col("exchanged")).alias("exchanged"),
         )
         notes.append(by_part.select(F.lit(number).alias("round"), "*"))
         total = by_part.agg(F.sum("exchanged"), F.sum("bins")).first()
