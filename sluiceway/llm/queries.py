@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontamination, near_duplicates, packing
+from sluiceway.llm import decontamination, near_duplicates, packing, secret_scan
 from sluiceway.llm.common import table
 
 
@@ -84,11 +84,16 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op4_near_duplicates": op4_near_duplicates,
         "op7_pack": op7_pack,
+        "op8_secrets": op8_secrets,
     }
 
 
