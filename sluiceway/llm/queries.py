@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontamination, near_duplicates, packing, secret_scan
+from sluiceway.llm import decontamination, near_duplicates, packing, secret_scan, toxicity
 from sluiceway.llm.common import table
 
 
@@ -50,6 +50,10 @@ FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op7_pack": op7_pack,
         "op8_secrets": op8_secrets,
