@@ -5,21 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluiceway.llm import decontamination
+from sluiceway.llm import decontamination, near_duplicates, packing, secret_scan, toxicity
 from sluiceway.llm.common import table
 from sluiceway.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned from their labels, does not score as toxic."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, 0.8 or more."""
+    return near_duplicates.without_near_duplicates(docs, size=5, percent=80)
+
+
 def clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
     return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by its kind; n_chars is that of the new text."""
+    spans = "__spans"
+    found = secret_scan.find_secrets(docs, into=spans)
+    text = F.when(F.size(spans) > 0, secret_scan.redacted(F.col("text"), F.col(spans)))
+    rows = found.withColumn("text", F.coalesce(text, F.col("text")))
+    length = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", length).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each remaining document goes in the training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
+    ("near-dedup", one_of_each),
     ("decontamination", clear_of_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
 ]
 
 # Learned scores, randomness tests and packing have no SQL form.
