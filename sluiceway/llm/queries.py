@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontamination, near_duplicates, packing, secret_scan, toxicity
+from sluiceway.llm import (
+    decontamination,
+    embedding_links,
+    near_duplicates,
+    packing,
+    secret_scan,
+    toxicity,
+)
 from sluiceway.llm.common import table
 
 
@@ -84,6 +91,30 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(e, x -> x * x)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -97,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
+        "op6_embedding_links": op6_embedding_links,
         "op7_pack": op7_pack,
         "op8_secrets": op8_secrets,
     }
@@ -106,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op4_near_duplicates": OP4_SQL,
+        "op6_embedding_links": OP6_SQL,
     }
