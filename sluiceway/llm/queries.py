@@ -11,6 +11,7 @@ from sluiceway.llm import (
     embedding_links,
     near_duplicates,
     packing,
+    quality,
     secret_scan,
     toxicity,
 )
@@ -123,6 +124,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -131,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_links": op6_embedding_links,
         "op7_pack": op7_pack,
         "op8_secrets": op8_secrets,
+        "op10_quality": op10_quality,
     }
 
 
