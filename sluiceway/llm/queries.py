@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sluiceway.llm import (
     decontamination,
     embedding_links,
+    language_model,
     near_duplicates,
     packing,
     quality,
@@ -92,6 +93,10 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.embedding_links(table(spark, sf_dir, "embeddings"))
 
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_language_model": op5_language_model,
         "op6_embedding_links": op6_embedding_links,
         "op7_pack": op7_pack,
         "op8_secrets": op8_secrets,
