@@ -15,6 +15,7 @@ from sluiceway.llm import (
     quality,
     secret_scan,
     toxicity,
+    wrapper_induction,
 )
 from sluiceway.llm.common import table
 
@@ -59,6 +60,10 @@ FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -136,6 +141,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_main_text": op2_main_text,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_language_model": op5_language_model,
