@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceway.llm import (
+    chat,
     decontamination,
     embedding_links,
     language_model,
@@ -110,8 +111,8 @@ OP6_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), usable AS (
-  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(e, x -> x * x)) > 0
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND list_sum([x * x FOR x IN e]) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
     ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -134,6 +135,40 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text,
+    CAST(coalesce(floor(turn / 64), -1) AS BIGINT) AS segment
+  FROM conversations WHERE conv_id IS NOT NULL
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), written AS (
+  SELECT conv_id, speaker, segment, turn, role, text, role = speaker AS own,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
+      ELSE '<|user name=' || regexp_replace(role, '[^A-Za-z0-9_.-]', '_', 'g') || '|>' END
+      || chr(10) AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM turns JOIN speakers USING (conv_id)
+), placed AS (
+  SELECT *, CAST(sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text
+    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM written
+)
+SELECT conv_id, speaker, segment, count(*) AS n_turns,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop)
+    FILTER (WHERE own), '') AS mask,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
+FROM placed GROUP BY conv_id, speaker, segment
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -148,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_links": op6_embedding_links,
         "op7_pack": op7_pack,
         "op8_secrets": op8_secrets,
+        "op9_perspectives": op9_perspectives,
         "op10_quality": op10_quality,
     }
 
@@ -157,4 +193,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": OP1_SQL,
         "op4_near_duplicates": OP4_SQL,
         "op6_embedding_links": OP6_SQL,
+        "op9_perspectives": OP9_SQL,
     }
