@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import cdc, decode, project, split, windows
-from sluiceway.plans.ingest import typed_messages
+from sluiceway.plans.ingest import ingest_batch, typed_messages
 from sluiceway.plans.sample_messages import CODE, MESSAGE, SCALARS, event_messages, scalar_messages
 from sluiceway.schema import message_schema
 from sluiceway.session import scratch_path
@@ -32,8 +33,6 @@ FIFTEEN_SECONDS = windows.WindowSpec(timedelta(seconds=15))
 SIX_HOURS = windows.WindowSpec(timedelta(hours=6))
 COUNT_SIZE = 1000
 FIRST_N = 1000
-SECONDS = 10
-FEW_ROWS = 67
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -148,9 +147,25 @@ def _windows_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.windows_with_empty(_events(spark, sf_dir), "ts", FIFTEEN_SECONDS)
 
 
+def _windows_with_empty_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The origin lies inside the data, so windows before it have numbers below 1."""
+    events = _events(spark, sf_dir)
+    low, high = (F.unix_micros(end("ts").cast("timestamp")) for end in (F.min, F.max))
+    half = F.timestamp_micros(F.call_function("div", low + high, F.lit(2)))
+    middle = events.select(half.cast(events.schema["ts"].dataType)).scalar()
+    return windows.windows_with_empty(events, "ts", windows.WindowSpec(SIX_HOURS.duration, middle))
+
+
+def _null_time_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = _events(spark, sf_dir).select(F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    return windows.null_time_report(timed, "ts")
+
+
 def _count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode.accepted(_decoded(spark, sf_dir)).select("event_id", "value")
-    return windows.count_windows(rows, COUNT_SIZE, ["event_id"])
+    def parse(messages: DataFrame) -> DataFrame:
+        return decode.accepted(decode.decode(messages)).select("event_id", "value")
+
+    return windows.count_windows(_messages(spark, sf_dir), COUNT_SIZE, ["event_id"], then=parse)
 
 
 def _tumbling_15s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +198,11 @@ def _null_key_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping parts, so rows of both appear twice."""
+    """Two overlapping parts that cover the table, so rows of both appear twice."""
     events = _events(spark, sf_dir)
-    failed = events.filter(F.col("event_type") == "error")
-    costly = events.filter(F.col("value") >= 10)
-    return split.append_batches(failed, costly)
+    failed = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    costly = F.coalesce(F.col("value") >= 10, F.lit(False))
+    return split.append_batches(events.filter(failed | costly), events.filter(~failed))
 
 
 def _partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +224,16 @@ def _partition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _partition_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with every key numbered across tasks as very large ones are."""
-    rows = _keyed_events(spark, sf_dir)
-    return split.partition_order(rows, "key", ["batch_id", "event_id"], hot_rows=FEW_ROWS)
+    """As above, with a third of all rows under one key and some without one."""
+    number = F.col("event_id")
+    rows = _batched_events(spark, sf_dir).select(
+        "event_id",
+        "batch_id",
+        F.when(number % 3 == 0, F.lit(7).cast("bigint"))
+        .when(number % 11 != 0, F.col("user_id") % 10)
+        .alias("key"),
+    )
+    return split.partition_order(rows, "key", ["batch_id", "event_id"])
 
 
 # Sinks
@@ -231,14 +253,54 @@ def _written_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.manifest(_write_typed(spark, sf_dir), "count")
+    """Rows per key as the files of the write have them."""
+    files = tables.written_files(_write_typed(spark, sf_dir), "count")
+    return files.groupBy("count").agg(
+        F.sum("rows").alias("rows"), (F.count("path") >= 1).alias("has_files")
+    )
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_messages(_events(spark, sf_dir))
+
+
+def _ingested_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole step: rows and dead letters as they are read back."""
+    path, letters = scratch_path(spark, "ingested"), scratch_path(spark, "letters")
+    ingest_batch(_messages(spark, sf_dir), MESSAGE, "count", path, dead_letters=letters)
+    rows = tables.read_batches(spark, path, message_schema(MESSAGE))
+    refused = spark.read.schema("value STRING, reason STRING").parquet(letters)
+    return rows.select(
+        "name", "size", "count", F.lit(None).cast("string").alias("value"), F.lit("valid").alias("status")
+    ).unionByName(
+        refused.select("value", F.col("reason").alias("status")), allowMissingColumns=True
+    )
+
+
+def _ingested_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch in a catalog table, made twice: the second time changes nothing."""
+    name = f"ingested_{uuid.uuid4().hex}"
+    for _ in range(2):
+        ingest_batch(_messages(spark, sf_dir), MESSAGE, "count", table=name, batch_id=3)
+    return spark.table(name).select("name", "size", "count", "batch_id")
+
+
+def _ingested_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every COUNT_SIZE valid messages are a window that is split and written."""
+    path = scratch_path(spark, "counted")
+    options = {"count_size": COUNT_SIZE, "order_by": ("event_id",)}
+    ingest_batch(_messages(spark, sf_dir), MESSAGE, "count", path, **options)
+    rows = spark.read.schema("batch_no BIGINT, count BIGINT").parquet(path)
+    return rows.groupBy("batch_no", "count").agg(F.count("*").alias("rows"))
 
 
 # Change data
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
+    """The events as changes of users; some lack their user."""
+    user = F.when(F.col("event_id") % 13 != 0, F.col("user_id")).alias("user_id")
+    return _events(spark, sf_dir).select("event_id", "ts", user, "event_type", "value")
 
 
 def _cdc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,9 +312,10 @@ def _cdc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cdc_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with some users numbered across tasks and the others not."""
-    changes = _changes(spark, sf_dir)
-    return cdc.cdc_order(changes, "user_id", "ts", "event_id", hot_rows=FEW_ROWS)
+    """As above, with a third of all changes under one user."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("user_id"))
+    changes = _changes(spark, sf_dir).withColumn("user_id", user)
+    return cdc.cdc_order(changes, "user_id", "ts", "event_id")
 
 
 def _cdc_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,11 +343,12 @@ def _padded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _worker_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.worker_throughput(_sent(spark, sf_dir), "worker", SECONDS)
+    """Messages per second of each user, over the time between its first and last one."""
+    return generate.throughput(_events(spark, sf_dir), "ts", "user_id")
 
 
 def _total_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.total_throughput(_sent(spark, sf_dir), "worker", SECONDS)
+    return generate.throughput(_events(spark, sf_dir), "ts")
 
 
 def _training_data_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -318,6 +382,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "window_stats": _window_stats,
         "windows_with_empty": _windows_with_empty,
         "current_window": _current_window,
+        "windows_with_empty_origin": _windows_with_empty_origin,
+        "null_time_report": _null_time_report,
         "count_windows": _count_windows,
         "tumbling_15s": _tumbling_15s,
         "tumbling_6h": _tumbling_6h,
@@ -332,6 +398,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partition_order_hot": _partition_order_hot,
         "written_partitions": _written_partitions,
         "manifest": _manifest,
+        "ingested_partitions": _ingested_partitions,
+        "ingested_table": _ingested_table,
+        "ingested_count_windows": _ingested_count_windows,
         "cdc_split": _cdc_split,
         "cdc_order": _cdc_order,
         "cdc_order_hot": _cdc_order_hot,
@@ -435,10 +504,25 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT event_id, batch_id, user_id % 10 AS key FROM ({batched}))
         WHERE key IS NOT NULL
     """
-    cdc_order = """
+    partition_order_hot = f"""
+        SELECT event_id, batch_id, key,
+            row_number() OVER (PARTITION BY key ORDER BY batch_id, event_id) AS position
+        FROM (SELECT event_id, batch_id, CASE WHEN event_id % 3 = 0 THEN 7
+                WHEN event_id % 11 <> 0 THEN user_id % 10 END AS key FROM ({batched}))
+        WHERE key IS NOT NULL
+    """
+    changes = """
+        SELECT event_id, ts, CASE WHEN event_id % 13 <> 0 THEN user_id END AS user_id,
+            event_type, value FROM events
+    """
+    hot_changes = """
+        SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 7
+            WHEN event_id % 13 <> 0 THEN user_id END AS user_id, event_type, value FROM events
+    """
+    numbered_changes = """
         SELECT event_id, ts, user_id, event_type, value,
             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change_no
-        FROM events
+        FROM ({}) WHERE user_id IS NOT NULL
     """
     stats = f"""
         WITH batched AS ({batched}), {_numbered("batched", "batch_id", _6H)}, stats AS (
@@ -503,6 +587,23 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT {_described(_15S)}, coalesce(n, 0) AS rows
             FROM spine LEFT JOIN counts USING (window_no)""",
+        "windows_with_empty_origin": f"""
+            WITH ends AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events
+            ), middle AS (SELECT a, b, (a + b) // 2 AS m FROM ends
+            ), numbers AS (
+                SELECT CAST(floor((epoch_us(ts) - m) / {_6H}::DOUBLE) AS BIGINT) + 1 AS window_no, m
+                FROM events, middle
+            ), counts AS (SELECT window_no, count(*) AS n FROM numbers GROUP BY window_no
+            ), spine AS (
+                SELECT m, CAST(unnest(generate_series((SELECT min(window_no) FROM counts),
+                    (SELECT max(window_no) FROM counts))) AS BIGINT) AS window_no FROM middle
+            )
+            SELECT window_no, 'window-' || window_no AS window_id, coalesce(n, 0) AS rows,
+                make_timestamp(m + (window_no - 1) * {_6H}) AS window_start,
+                make_timestamp(m + window_no * {_6H}) AS window_end
+            FROM spine LEFT JOIN counts USING (window_no)""",
+        "null_time_report": """SELECT count_if(event_id % 7 <> 0) AS timed_rows,
+            count_if(event_id % 7 = 0) AS null_time_rows FROM events""",
         "count_windows": _MESSAGES
         + f"""SELECT event_id, value, ordinal, (ordinal - 1) // {COUNT_SIZE} AS batch_no FROM (
                 SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS ordinal
@@ -518,28 +619,41 @@ def oracle_sql() -> dict[str, str]:
         "null_key_report": _MESSAGES
         + """SELECT count("count") AS keyed_rows, count(*) - count("count") AS null_key_rows
             FROM valid""",
-        "append_batches": """SELECT * FROM events WHERE event_type = 'error'
-            UNION ALL SELECT * FROM events WHERE value >= 10""",
+        "append_batches": """
+            SELECT * FROM events WHERE coalesce(event_type = 'error' OR value >= 10, false)
+            UNION ALL SELECT * FROM events WHERE NOT coalesce(event_type = 'error', false)""",
         "partition_sizes": _MESSAGES
         + """SELECT "count", count(*) AS rows FROM valid
             WHERE "count" IS NOT NULL GROUP BY "count" """,
         "partition_count": _MESSAGES + 'SELECT count(DISTINCT "count") AS partitions FROM valid',
         "partition_order": partition_order,
-        "partition_order_hot": partition_order,
+        "partition_order_hot": partition_order_hot,
         "written_partitions": _MESSAGES
         + 'SELECT name, size, "count" FROM valid WHERE "count" IS NOT NULL',
         "manifest": _MESSAGES
-        + """SELECT "count", CAST(1 AS BIGINT) AS files, count(*) AS rows FROM valid
+        + """SELECT "count", count(*) AS rows, true AS has_files FROM valid
             WHERE "count" IS NOT NULL GROUP BY "count" """,
-        "cdc_split": """SELECT event_id, ts, user_id, event_type, value FROM events
-            WHERE user_id IS NOT NULL""",
-        "cdc_order": cdc_order,
-        "cdc_order_hot": cdc_order,
-        "cdc_latest": """
+        "ingested_partitions": _MESSAGES
+        + """SELECT name, size, "count", CAST(NULL AS VARCHAR) AS value, 'valid' AS status
+            FROM valid WHERE "count" IS NOT NULL
+            UNION ALL SELECT NULL, NULL, NULL, value, reason FROM checked
+            WHERE reason IS NOT NULL""",
+        "ingested_table": _MESSAGES
+        + """SELECT name, size, "count", CAST(3 AS BIGINT) AS batch_id FROM valid
+            WHERE "count" IS NOT NULL""",
+        "ingested_count_windows": _MESSAGES
+        + f"""SELECT batch_no, "count", count(*) AS rows FROM (
+                SELECT "count", (row_number() OVER (ORDER BY event_id) - 1) // {COUNT_SIZE}
+                    AS batch_no FROM valid)
+            WHERE "count" IS NOT NULL GROUP BY ALL""",
+        "cdc_split": f"SELECT * FROM ({changes}) WHERE user_id IS NOT NULL",
+        "cdc_order": numbered_changes.format(changes),
+        "cdc_order_hot": numbered_changes.format(hot_changes),
+        "cdc_latest": f"""
             SELECT event_id, ts, user_id, event_type, value FROM (
                 SELECT *, row_number() OVER (
                     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back
-                FROM events)
+                FROM ({changes}) WHERE user_id IS NOT NULL)
             WHERE back = 1 AND event_type <> 'error'""",
         "padded_payloads": """
             WITH sent AS (
@@ -556,15 +670,15 @@ def oracle_sql() -> dict[str, str]:
                 FROM ends
             )
             SELECT event_id, worker, value, CAST(strlen(value) AS INTEGER) AS bytes FROM texts""",
-        "worker_throughput": f"""
-            SELECT event_id % 10 AS worker, count(*) AS messages,
-                CAST(count(*) AS DOUBLE) / {SECONDS} AS per_second
-            FROM events GROUP BY ALL""",
-        "total_throughput": f"""
-            SELECT CAST(count(*) AS BIGINT) AS messages, count(DISTINCT event_id % 10) AS workers,
-                CAST(count(*) AS DOUBLE) / {SECONDS} AS per_second,
-                CAST(count(*) AS DOUBLE) / {SECONDS} / count(DISTINCT event_id % 10)
-                    AS per_second_per_worker
+        "worker_throughput": """
+            SELECT user_id, count(*) AS messages, date_diff('microsecond', min(ts), max(ts)) AS micros,
+                CAST(count(*) AS DOUBLE) * 1000000
+                    / nullif(date_diff('microsecond', min(ts), max(ts)), 0) AS per_second
+            FROM events GROUP BY user_id""",
+        "total_throughput": """
+            SELECT count(*) AS messages, date_diff('microsecond', min(ts), max(ts)) AS micros,
+                CAST(count(*) AS DOUBLE) * 1000000
+                    / nullif(date_diff('microsecond', min(ts), max(ts)), 0) AS per_second
             FROM events""",
         **_training_data_sql(),
     }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ordinals import HOT_ROWS, with_ordinal
-from sluiceway.operators.split import split_in_order
+from sluiceway.operators.ordinals import with_ordinal
+from sluiceway.operators.split import keyed, split_in_order
 
 
 def cdc_split(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
@@ -15,10 +15,14 @@ def cdc_split(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
 
 
 def cdc_order(
-    df: DataFrame, key: str, ts: str, seq: str, name: str = "change_no", hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, ts: str, seq: str, name: str = "change_no"
 ) -> DataFrame:
-    """Number the changes of each key by timestamp; ``seq`` decides between equal timestamps."""
-    return with_ordinal(df, [ts, seq], [key], name, hot_rows)
+    """Number the changes of each key by timestamp; ``seq`` decides between equal timestamps.
+
+    Like every function here it leaves out changes without a key, which
+    :func:`~sluiceway.operators.split.null_key_report` counts.
+    """
+    return with_ordinal(keyed(df, key), [ts, seq], [key], name)
 
 
 def last_changes(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
@@ -28,7 +32,7 @@ def last_changes(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     changes costs no more to shuffle than any other.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
-    last = df.groupBy(key).agg(F.max_by(row, F.struct(ts, seq)).alias("last"))
+    last = keyed(df, key).groupBy(key).agg(F.max_by(row, F.struct(ts, seq)).alias("last"))
     return last.select("last.*")
 
 

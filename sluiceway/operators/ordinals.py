@@ -1,27 +1,20 @@
 """Running numbers 1, 2, 3, ... over a whole table or inside each key, at any skew.
 
 A window function without ``partitionBy``, or over one very large key, would sort
-all those rows in a single task. Here such rows are range-partitioned on their order
-instead, numbered inside each range, and shifted by the rows in the ranges before.
+all those rows in a single task. Here all rows are range-partitioned on their order,
+numbered inside each range, and shifted by what lies in the ranges before. The one way
+serves keys of all sizes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluiceway.session import stored
 
-# Keys with more rows than this are numbered across tasks.
-HOT_ROWS = 4_000_000
-# At most this many hot keys, of these types, are sent to every executor unasked.
-BROADCAST_KEYS = 100_000
-FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -30,84 +23,73 @@ def with_ordinal(
     order_by: list[str],
     partition_by: list[str] | None = None,
     name: str = "ordinal",
-    hot_rows: int = HOT_ROWS,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``name``, the 1-based position in ``order_by``, restarting for every key.
 
-    ``order_by`` must order the rows totally (end it with a unique column). Counting
-    the rows per key reads the key columns once when the plan is built.
+    ``order_by`` must order the rows totally (end it with a unique column). ``then`` is
+    applied to the ordered rows before they are numbered, and may drop rows or change
+    other columns than those named here: the bounds of the ranges are sampled without it,
+    so that an expensive step runs once.
     """
-    if name in df.columns:
+    rows = _in_ranges(df, [*(partition_by or []), *order_by], then)
+    columns = [c for c in rows.columns if c not in ("_row", "_part")]
+    if name in columns:
         raise ValueError(f"Column {name} already exists")
-    if not partition_by:
-        return _numbered(df, [], order_by, name)
-    hot, few = _hot_keys(df, partition_by, hot_rows)
-    plain = Window.partitionBy(*partition_by).orderBy(*order_by)
-    if hot is None:
-        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
-    hot = F.broadcast(hot) if few else hot
-    same = _same_keys("d", "h", partition_by)
-    small = df.alias("d").join(hot.alias("h"), same, "left_anti")
-    large = df.alias("d").join(hot.alias("h"), same, "left_semi")
-    return small.withColumn(name, F.row_number().over(plain).cast("bigint")).unionByName(
-        _numbered(large, partition_by, order_by, name, few)
+    return (_inside_keys(rows, partition_by, name) if partition_by else _overall(rows, name)).select(
+        *columns, name
     )
 
 
-def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, bool]:
-    """The keys with more than ``hot_rows`` rows, and whether they are certainly small.
-
-    Otherwise they are stored, and Spark broadcasts them only if their files are small.
-    """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows)
-    hot = hot.select(*keys)
-    if all(isinstance(df.schema[key].dataType, FIXED_WIDTH) for key in keys):
-        found = hot.limit(BROADCAST_KEYS + 1).collect()
-        if len(found) <= BROADCAST_KEYS:
-            few = df.sparkSession.createDataFrame(found, hot.schema) if found else None
-            return few, True
-    kept = stored(hot, "hot-keys")
-    return (None if kept.isEmpty() else kept), False
-
-
-def _numbered(
-    df: DataFrame, keys: list[str], order_by: list[str], name: str, few_keys: bool = False
+def _in_ranges(
+    df: DataFrame, order: list[str], then: Callable[[DataFrame], DataFrame] | None
 ) -> DataFrame:
-    order = [*keys, *order_by]
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if then is not None:
+        ranged = then(ranged)
     # Stored, because range bounds are sampled and may differ when computed again.
-    rows = stored(ranged, "ordinals")
-    part = F.shiftrightunsigned("_row", _POSITION_BITS)
-    position = F.col("_row").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1
+    rows = stored(ranged.withColumn("_row", F.monotonically_increasing_id()), "ordinals")
+    return rows.withColumn("_part", F.shiftrightunsigned("_row", _POSITION_BITS))
 
-    # One row per range, so the single-task running sum stays as small as the range count.
+
+def _overall(rows: DataFrame, name: str) -> DataFrame:
+    position = F.col("_row").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, so the single-task running sum stays as small as the range count.
     offsets = (
-        rows.groupBy(part.alias("_part"))
-        .agg(F.max(position).alias("_rows"))
+        rows.groupBy("_part")
+        .agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    overall = (
-        rows.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + position)
-        .drop("_part", "_offset", "_row")
-    )
-    if not keys:
-        return overall
-    starts = overall.groupBy(*keys).agg((F.min(name) - 1).alias("_start"))
-    starts = F.broadcast(starts) if few_keys else stored(starts, "key-starts")
-    columns = [F.col("o." + c) for c in df.columns]
-    return (
-        overall.alias("o")
-        .join(starts.alias("s"), _same_keys("o", "s", keys))
-        .select(*columns, (F.col(f"o.{name}") - F.col("s._start")).alias(name))
-    )
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + position)
 
 
-def _same_keys(left: str, right: str, keys: list[str]) -> Column:
-    return reduce(and_, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
+def _inside_keys(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number each key inside a range, whose rows one task held already; then carry over.
+
+    Only the first key of a range can go on from ranges before, all of which end with it.
+    """
+    key = F.struct(*keys)
+    ends = stored(
+        rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last")), "ends"
+    )
+    last = (
+        rows.select("_part", key.alias("_key"))
+        .join(ends, "_part")
+        .groupBy("_part")
+        .agg(F.count_if(F.col("_key").eqNullSafe(F.col("_last"))).alias("_rows"))
+    )
+    # One row per range from here on.
+    asks = ends.select("_part", F.col("_first").alias("_key"), F.lit(0).alias("_rows"), F.lit(True).alias("_asks"))
+    gives = ends.join(last, "_part").select(
+        "_part", F.col("_last").alias("_key"), "_rows", F.lit(False).alias("_asks")
+    )
+    before = Window.partitionBy("_key").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    carried = asks.unionByName(gives).withColumn("_carry", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    carried = stored(
+        carried.where("_asks").select("_part", F.col("_key").alias("_first"), "_carry"), "carried"
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy("_row")
+    numbered = rows.withColumn("_inside", F.row_number().over(inside)).join(carried, "_part")
+    carry = F.when(key.eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(F.lit(0))
+    return numbered.withColumn(name, (F.col("_inside") + carry).cast("bigint"))

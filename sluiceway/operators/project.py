@@ -45,12 +45,12 @@ def project_strict(
     checks = [f"WHEN {REASON} IS NOT NULL THEN true"]
     checks += [
         f"WHEN {is_missing(DOC, f.name)} THEN "
-        f"raise_error({sql_string(f'Missing required field: {f.name}')})"
+        f"raise_error({sql_string(f'The required field {f.name} is absent')})"
         for f in required
     ]
     checks += [
         f"WHEN {typed_field(DOC, f.name, f.dataType, int32_overflow)} IS NULL THEN "
-        f"raise_error({sql_string(f'Null in required field: {f.name}')})"
+        f"raise_error({sql_string(f'The required field {f.name} is null')})"
         for f in required
     ]
     # Checked in a filter, which column pruning cannot remove.

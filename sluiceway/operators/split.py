@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ordinals import HOT_ROWS, with_ordinal
+from sluiceway.operators.ordinals import with_ordinal
 from sluiceway.schema import partition_key, same_schema
 
 
@@ -73,7 +73,7 @@ def partition_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def partition_order(
-    df: DataFrame, key: str, order_by: list[str], name: str = "position", hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, order_by: list[str], name: str = "position"
 ) -> DataFrame:
     """Number the rows inside each key in batch order, then row order."""
-    return with_ordinal(keyed(df, key), order_by, [key], name, hot_rows)
+    return with_ordinal(keyed(df, key), order_by, [key], name)

@@ -6,6 +6,7 @@ and are half-open: a row at exactly the end belongs to the next window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -74,7 +75,7 @@ def window_stats(
     """Rows and distinct batches of every window that has rows."""
     origin = spec.start_of(df, ts)
     stats = (
-        _numbered(df.select(ts, batch), ts, origin, spec.duration)
+        _numbered(df.select(ts, batch).where(F.col(ts).isNotNull()), ts, origin, spec.duration)
         .groupBy("window_no")
         .agg(F.count("*").alias("rows"), F.count_distinct(batch).alias("batches"))
     )
@@ -105,7 +106,7 @@ def closed_windows(
         now = F.lit(as_of.isoformat(sep=" ")).cast(df.schema[ts].dataType)
     origin = spec.start_of(df, ts)
     counts = (
-        _numbered(df.select(ts), ts, origin, spec.duration)
+        _numbered(df.select(ts).where(F.col(ts).isNotNull()), ts, origin, spec.duration)
         .groupBy("window_no")
         .agg(F.count("*").alias("rows"))
     )
@@ -114,23 +115,32 @@ def closed_windows(
 
 
 def windows_with_empty(df: DataFrame, ts: str, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """Rows of every window from the first to the last, empty ones included.
+    """Rows of every window from the lowest to the highest, empty ones included.
 
-    The numbers of all windows are produced in chunks, so that no task holds them all,
-    and join the row counts in one aggregation instead of a join.
+    The numbers of all windows are produced in chunks, which are dealt to as many tasks as
+    the session has cores, and join the row counts in one aggregation instead of a join.
     """
     origin = spec.start_of(df, ts)
-    found = _numbered(df.select(ts), ts, origin, spec.duration)
-    found = found.select("window_no", F.lit(1).alias("n"))
-    last = _numbered(df.agg(F.max(ts).alias("ts")), "ts", origin, spec.duration)
-    last = last.select(F.col("window_no").alias("last"))
-    chunk = F.lit(SPINE_CHUNK)
-    last_chunk = F.call_function("div", F.col("last") - 1, chunk)
-    chunks = last.filter("last >= 1").select(
-        "last", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("chunk")
+    timed = df.select(ts).where(F.col(ts).isNotNull())
+    found = _numbered(timed, ts, origin, spec.duration).select("window_no", F.lit(1).alias("n"))
+    ends = []
+    for name, end in (("first", F.min(ts)), ("last", F.max(ts))):
+        numbered = _numbered(timed.agg(end.alias("ts")), "ts", origin, spec.duration)
+        ends.append(numbered.select(F.col("window_no").alias(name)))
+    chunk, first_chunk = F.lit(SPINE_CHUNK), F.lit(0).cast("bigint")
+    last_chunk = F.call_function("div", F.col("last") - F.col("first"), chunk)
+    # Two aggregates without keys: one row each. Without a timed row there is no window.
+    chunks = (
+        ends[0]
+        .withColumn("one", F.lit(1))
+        .join(ends[1].withColumn("one", F.lit(1)), "one")
+        .where("last IS NOT NULL")
+        .select("first", "last", F.explode(F.sequence(first_chunk, last_chunk)).alias("chunk"))
     )
-    first_no = F.col("chunk") * chunk + 1
-    spine = chunks.repartition("chunk").select(
+    first_no = F.col("first") + F.col("chunk") * chunk
+    # With a number, or adaptive execution would merge the chunks, small as they are.
+    tasks = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    spine = chunks.repartition(tasks, "chunk").select(
         F.explode(F.sequence(first_no, F.least(first_no + chunk - 1, "last"))).alias("window_no"),
         F.lit(0).alias("n"),
     )
@@ -138,13 +148,25 @@ def windows_with_empty(df: DataFrame, ts: str, spec: WindowSpec = WindowSpec())
     return _described(counts, origin, spec.duration)
 
 
+def null_time_report(df: DataFrame, ts: str) -> DataFrame:
+    """One row: how many rows have a time, and how many the windows leave out without one."""
+    return df.agg(
+        F.count_if(F.col(ts).isNotNull()).alias("timed_rows"),
+        F.count_if(F.col(ts).isNull()).alias("null_time_rows"),
+    )
+
+
+def _with_key_and_time(df: DataFrame, ts: str, key: str) -> DataFrame:
+    return df.select(ts, key).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+
+
 def window_partition_stats(
     df: DataFrame, ts: str, key: str, spec: WindowSpec = WindowSpec()
 ) -> DataFrame:
-    """Rows per window and key; rows without a key are left out."""
+    """Rows per window and key; rows without a key or a time are left out."""
     origin = spec.start_of(df, ts)
     counts = (
-        _numbered(df.select(ts, key).filter(F.col(key).isNotNull()), ts, origin, spec.duration)
+        _numbered(_with_key_and_time(df, ts, key), ts, origin, spec.duration)
         .groupBy("window_no", key)
         .agg(F.count("*").alias("rows"))
     )
@@ -160,13 +182,20 @@ def tumbling(df: DataFrame, ts: str, duration: timedelta = DEFAULT_DURATION) ->
     )
 
 
-def count_windows(df: DataFrame, size: int, order_by: list[str], start: int = 0) -> DataFrame:
+def count_windows(
+    df: DataFrame,
+    size: int,
+    order_by: list[str],
+    start: int = 0,
+    then: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Add ``ordinal`` and ``batch_no``: every ``size`` rows in order form one batch, from 0.
 
-    ``start`` is the number of rows before these.
+    ``start`` is the number of rows before these. ``then`` is applied once to the rows in
+    order before they are counted: give raw messages here and parse them there.
     """
     if size < 1:
         raise ValueError("a count window holds at least one row")
-    numbered = with_ordinal(df, order_by).withColumn("ordinal", F.col("ordinal") + start)
+    numbered = with_ordinal(df, order_by, then=then).withColumn("ordinal", F.col("ordinal") + start)
     batch_no = F.call_function("div", F.col("ordinal") - 1, F.lit(size))
     return numbered.withColumn("batch_no", batch_no)

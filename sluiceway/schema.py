@@ -36,7 +36,7 @@ def no_repeated_names(names: list[str]) -> None:
 def partition_key(df: DataFrame, key: str) -> str:
     """The key column must exist and be a 64-bit integer."""
     if key not in df.columns:
-        raise ValueError(f"Column {key} not found")
+        raise ValueError(f"There is no column {key}")
     found = df.schema[key].dataType
     if not isinstance(found, T.LongType):
         raise ValueError(f"Partition column {key} must be bigint, not {found.simpleString()}")
@@ -49,5 +49,5 @@ def same_schema(left: DataFrame, right: DataFrame) -> None:
     b = [(f.name, f.dataType) for f in right.schema.fields]
     if a != b:
         raise ValueError(
-            f"Schemas do not match: {left.schema.simpleString()} and {right.schema.simpleString()}"
+            f"The schemas differ: {left.schema.simpleString()} and {right.schema.simpleString()}"
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,10 +68,11 @@ def create_table_sql(
     fmt: str = "parquet",
     location: str | None = None,
     properties: dict[str, str] | None = None,
+    outer: tuple[str, ...] = (),
 ) -> str:
     columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     sql = f"CREATE TABLE IF NOT EXISTS {_quoted(name)} ({columns}) USING {fmt}"
-    sql += f" PARTITIONED BY (`{key}`)"
+    sql += f" PARTITIONED BY ({', '.join(f'`{name}`' for name in (*outer, key))})"
     if location:
         sql += " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'"
     if properties:
@@ -88,6 +90,7 @@ def ensure_table(
     fmt: str = "parquet",
     location: str | None = None,
     properties: dict[str, str] | None = None,
+    outer: tuple[str, ...] = (),
 ) -> DataFrame:
     """Open the table, creating it if needed; ``mode="replace"`` first drops what is there."""
     if mode not in ("if_not_exists", "replace"):
@@ -97,12 +100,44 @@ def ensure_table(
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {_quoted(namespace)}")
     if mode == "replace":
         spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
-    spark.sql(create_table_sql(name, schema, key, fmt, location, properties))
+    spark.sql(create_table_sql(name, schema, key, fmt, location, properties, outer))
     return spark.table(_quoted(name))
 
 
+def overwrite_batch(
+    df: DataFrame, name: str, batch_id: int, key: str, fmt: str = "parquet", salt: int = 1
+) -> None:
+    """Make the batch in a table that :func:`ensure_table` partitioned by ``batch_id`` first.
+
+    Whatever the table has of this batch is replaced, so that a repeat adds no row.
+    """
+    spark = df.sparkSession
+    columns = spark.table(_quoted(name)).columns
+    rows = split_by_key(df, key, salt=salt).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    if fmt == "iceberg":
+        rows.select(*columns).writeTo(_quoted(name)).overwrite(F.col(BATCH) == batch_id)
+        return
+    view = f"batch_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    partitions = [c for c in columns if c not in df.columns or c == key]
+    dynamic = [f"`{c}`" for c in partitions if c != BATCH]
+    data = [_quoted(c) for c in columns if c != BATCH and f"`{c}`" not in dynamic]
+    try:
+        # The batch is named, so exactly its keys go, those no longer there included.
+        spark.sql(
+            f"INSERT OVERWRITE TABLE {_quoted(name)} "
+            f"PARTITION (`{BATCH}` = {batch_id}, {', '.join(dynamic)}) "
+            f"SELECT {', '.join([*data, *dynamic])} FROM {view}"
+        )
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def append_table(df: DataFrame, name: str, key: str, fmt: str = "parquet", salt: int = 1) -> None:
-    """Append to a table made by :func:`ensure_table`."""
+    """Append to a table made by :func:`ensure_table`; rows without a key are left out.
+
+    A repeat appends again: use :func:`overwrite_batch` for what may be repeated.
+    """
     target = df.sparkSession.table(_quoted(name))
     rows = split_by_key(df, key, salt=salt).select(*target.columns)
     if fmt == "iceberg":
@@ -134,13 +169,19 @@ def batch_path(path: str, batch_id: int) -> str:
 def with_retries(
     action: Callable[[], None], max_attempts: int = MAX_ATTEMPTS, delay: float = RETRY_DELAY
 ) -> tuple[int, Exception | None]:
-    """Run until it succeeds; the zero-based last attempt, and its error if that failed too."""
+    """Publish until it succeeds; the zero-based last attempt, and its error if that failed too.
+
+    Only errors of storage are tried again. Any other is a fault of the data or the program,
+    which a repeat does not mend, and is raised.
+    """
     error: Exception | None = None
     for attempt in range(max_attempts):
         try:
             action()
             return attempt, None
-        except Exception as failure:  # whatever fails in a write counts as an attempt
+        except Exception as failure:
+            if not _of_storage(failure):
+                raise
             log.warning("attempt %d of %d failed: %s", attempt + 1, max_attempts, failure)
             error = failure
             if attempt < max_attempts - 1:
@@ -148,6 +189,33 @@ def with_retries(
     return max_attempts - 1, error
 
 
+def _of_storage(failure: Exception) -> bool:
+    if isinstance(failure, OSError):
+        return True
+    cause = getattr(failure, "java_exception", None)
+    while cause is not None:
+        if "IOException" in cause.getClass().getName() or "FileSystem" in cause.getClass().getName():
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a finished directory in place of ``target`` by renaming it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    source, goal = path(staged), path(target)
+    files = goal.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(source):
+        if files.exists(goal):  # renamed by an attempt that reported a failure
+            return
+        raise OSError(f"{staged} is gone")
+    files.mkdirs(goal.getParent())
+    if files.exists(goal) and not files.delete(goal, True):
+        raise OSError(f"{target} could not be replaced")
+    if not files.rename(source, goal):
+        raise OSError(f"{staged} could not be renamed to {target}")
+
+
 def write_batch(
     df: DataFrame,
     path: str,
@@ -157,14 +225,19 @@ def write_batch(
     delay: float = RETRY_DELAY,
     order_by: tuple[str, ...] = (),
     salt: int = 1,
+    outer: tuple[str, ...] = (),
 ) -> tuple[int, bool]:
-    """Write one batch to a directory of its own, so that writing it again changes nothing."""
+    """Write one batch to a directory of its own, so that writing it again changes nothing.
 
-    def overwrite() -> None:
-        target = batch_path(path, batch_id)
-        write_partitioned(df, target, key, order_by, mode="overwrite", salt=salt)
-
-    attempt, error = with_retries(overwrite, max_attempts, delay)
+    The rows are written once, to a directory that readers skip; only putting it in place is
+    tried again. Rows without a key are left out and counted in the log.
+    """
+    spark, target = df.sparkSession, batch_path(path, batch_id)
+    staged = f"{path.rstrip('/')}/_staged-{batch_id}-{uuid.uuid4().hex}"
+    write_partitioned(df, staged, key, order_by, outer, mode="overwrite", salt=salt)
+    attempt, error = with_retries(lambda: publish(spark, staged, target), max_attempts, delay)
+    if error is not None:
+        log.error("batch %d stays in %s: %s", batch_id, staged, error)
     return attempt, error is None
 
 
@@ -174,6 +247,13 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(typed).parquet(path).select(*typed.names)
 
 
+def written_files(table: DataFrame, key: str) -> DataFrame:
+    """One row per file of a table read from files: path, key, rows."""
+    return table.groupBy(F.col("_metadata.file_path").alias("path"), key).agg(
+        F.count("*").alias("rows")
+    )
+
+
 def manifest(table: DataFrame, key: str) -> DataFrame:
     """Files and rows per key of a table read from files."""
     return table.groupBy(key).agg(

@@ -1,4 +1,4 @@
-"""Seeded generators of test messages, and the throughput figures of a run."""
+"""Seeded generators of test messages, and the rates of messages."""
 
 from __future__ import annotations
 
@@ -71,18 +71,12 @@ def send_to_kafka(df: DataFrame, servers: str, topic: str, partition: str = "wor
     records.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
 
 
-def worker_throughput(df: DataFrame, worker: str, seconds: float) -> DataFrame:
-    """Messages and messages per second of every worker."""
-    counts = df.groupBy(worker).agg(F.count("*").alias("messages"))
-    return counts.withColumn("per_second", F.col("messages") / F.lit(float(seconds)))
+def throughput(df: DataFrame, ts: str, *keys: str) -> DataFrame:
+    """Messages and their rate per second between the first and the last, by ``keys``.
 
-
-def total_throughput(df: DataFrame, worker: str, seconds: float) -> DataFrame:
-    """One row: all messages, the overall rate, and the mean rate of the workers that sent any."""
-    totals = worker_throughput(df, worker, seconds).agg(
-        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
-        F.count("*").alias("workers"),
-    )
-    rate = F.col("messages") / F.lit(float(seconds))
-    mean = F.when(F.col("workers") > 0, rate / F.col("workers")).otherwise(0.0)
-    return totals.withColumns({"per_second": rate, "per_second_per_worker": mean})
+    The rate is null where all messages have one time.
+    """
+    span = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("messages"), span.alias("micros"))
+    rate = F.col("messages").cast("double") * 1000000 / F.nullif(F.col("micros"), F.lit(0))
+    return counts.withColumn("per_second", rate)

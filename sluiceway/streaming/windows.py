@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,8 +66,10 @@ def append_files(
 
     Unless ``salt`` is given there is no shuffle, and every task writes a file for each
     key it meets. With ``salt`` a key is gathered into up to that many files per batch.
+    Rows without a key are left out; the progress of the query counts them as ``null_keys``.
     """
-    rows = keyed(stream, key)
+    no_key = F.count_if(F.col(key).isNull()).alias("null_keys")
+    rows = keyed(stream.observe("left_out", no_key), key)
     if salt is not None:
         rows = rows.repartition(F.col(key), F.pmod(F.xxhash64(*rows.columns), F.lit(salt)))
     writer = rows.writeStream.format("parquet").option("path", path).partitionBy(key)
@@ -77,6 +79,19 @@ def append_files(
     return writer.start()
 
 
+def total_before(spark: SparkSession, path: str, batch_id: int) -> int:
+    """How many messages the micro-batches before ``batch_id`` had."""
+    if batch_id == 0:
+        return 0
+    before = spark.read.schema("total BIGINT").parquet(batch_path(path, batch_id - 1))
+    return before.first()["total"]
+
+
+def keep_total(spark: SparkSession, path: str, batch_id: int, total: int) -> None:
+    row = spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
+    row.write.mode("overwrite").parquet(batch_path(path, batch_id))
+
+
 def write_count_windows(
     df: DataFrame, batch_id: int, path: str, size: int, order_by: list[str]
 ) -> int:
@@ -86,19 +101,13 @@ def write_count_windows(
     ``path/totals``, each in a directory of the micro-batch, so that a repeat overwrites it.
     """
     spark = df.sparkSession
-    start = 0
-    if batch_id > 0:
-        before = spark.read.schema("total BIGINT").parquet(
-            batch_path(f"{path}/totals", batch_id - 1)
-        )
-        start = before.first()["total"]
+    start = total_before(spark, f"{path}/totals", batch_id)
     target = batch_path(f"{path}/rows", batch_id)
     with temporary_tables(spark):
         numbered = count_windows(df, size, order_by, start)
         numbered.write.mode("overwrite").parquet(target)
     total = start + spark.read.schema(numbered.schema).parquet(target).count()
-    row = spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
-    row.write.mode("overwrite").parquet(batch_path(f"{path}/totals", batch_id))
+    keep_total(spark, f"{path}/totals", batch_id, total)
     return total
 
 
