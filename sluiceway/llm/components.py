@@ -22,16 +22,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     alone = edges.where("u = v").select("u", "v")
     edges = stored(edges.where("u <> v").distinct(), "links")
-    mark = None
-    while True:
+    while not _are_stars(edges):
         edges = stored(_small_star(_large_star(edges)), "stars")
-        # Sums over the whole edge set tell whether a step changed anything.
-        found = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if found == mark:
-            break
-        mark = found
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     lone = alone.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -40,6 +32,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one link, and no smaller end is a larger one elsewhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("larger")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("larger"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("larger").alias("as_u"), F.count("*").alias("all"))
+    return roles.where("as_u > 1 OR (as_u > 0 AND all > as_u)").isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours become linked to its smallest neighbour or itself."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -4,8 +4,10 @@ One hash of each shingle serves all bins: the smallest hash in each of equal ran
 bin's value, and an empty bin borrows from the bin that a fixed probe sequence reaches
 first. Bands of bins give buckets. Documents with equal shingle sets are one class, and
 only classes meet in buckets. A bucket's members are paired with its centre, not with each
-other; pairs are confirmed on whole sets. Where a bucket still holds more than one
-component, further members become centres, until no pair of the bucket is open.
+other, and pairs are confirmed on whole sets. A bucket may then still hold members that
+are like each other but not like the centre. For the members of such buckets an exact rest
+follows: those that share a rare shingle form buckets, which are treated in the same way
+with further centres, until no pair of components in any of them is open.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,9 @@ BINS = 216
 # A pair just similar enough misses every band with at most this probability.
 MISS = 1e-7
 PROBES = 64
-# Members of a bucket that become centres in one round after the first.
-CENTRES = 64
+# Members of a bucket that become centres in the second round; each later round takes so
+# many times as many.
+CENTRES = 32
 KEPT_WORDS = 400_000
 
 SIGNATURE = record(n=T.LongType(), digest=T.BinaryType(), bands=T.ArrayType(T.LongType()))
@@ -144,8 +147,13 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _longs(sets: pd.Series) -> pd.Series:
+    return sets.map(lambda own: np.frombuffer(own, "int64"))
+
+
 class _Rounds:
-    """The links between classes, found bucket by bucket."""
+    """Links between classes, found bucket by bucket, and what they connect."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
@@ -176,7 +184,8 @@ class _Rounds:
         """The smaller set must be large enough for the similarity to be possible at all."""
         return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
 
-    def links(self) -> DataFrame:
+    def components(self) -> DataFrame:
+        """``node`` and ``component`` of all classes that have links."""
         rows = self.classes.select(F.explode("bands").alias("key"), "node", "n")
         heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size"))
         heads = heads.where("size > 1").drop("size")
@@ -190,50 +199,107 @@ class _Rounds:
         )
         self.keep_sets(members)
         links = stored(self.confirm(pairs), "confirmed")
-        members, within = members.drop("head"), components(links)
+        within = stored(components(links), "within")
+        apart = self._open(self._labelled(members, within)).select("node").distinct()
+        return self._rest(within, self._rare(stored(apart, "apart")))
+
+    def _labelled(self, members: DataFrame, within: DataFrame) -> DataFrame:
+        return members.join(within, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
+
+    def _open(self, labelled: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component and an unserved member."""
+        keys = labelled.groupBy("key").agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count_if(~F.col("served")).alias("left"),
+        )
+        return labelled.join(keys.where("low <> high AND left > 0").select("key"), "key")
+
+    def _rare(self, apart: DataFrame) -> DataFrame:
+        """Buckets of shared rare shingles: similar enough sets must share one of these.
+
+        In any common order of shingles, two such sets share one among the first
+        ``n - ceil(similarity * n) + 1`` of each. The order is by number of holders, so that
+        copies that each differ in their own way do not meet.
+        """
+        held = self.sets.join(apart, "node").select("node", _longs("set").alias("own"))
+        held = held.select("node", F.size("own").alias("n"), F.explode("own").alias("key"))
+        common = held.groupBy("key").count().where("count > 1")
+        shared = held.join(common, "key")
+        of_node = Window.partitionBy("node")
+        ranked = shared.select(
+            "key",
+            "node",
+            F.col("n").cast("long").alias("n"),
+            F.count("*").over(of_node).alias("shared"),
+            F.row_number().over(of_node.orderBy("count", "key")).alias("rank"),
+        )
+        first = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
+        # Shingles that no other set has come before all shared ones.
+        kept = ranked.where(F.col("rank") <= first - (F.col("n") - F.col("shared")))
+        return kept.select("key", "node", "n", F.lit(False).alias("served"))
+
+    def _joined(self, within: DataFrame, more: DataFrame) -> DataFrame:
+        """The components after further links, which join the components of before."""
+        ends = more.select("a", "b")
+        for end in ("a", "b"):
+            label = within.withColumnRenamed("node", end).withColumnRenamed("component", f"of_{end}")
+            ends = ends.join(label, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        moved = components(ends, "of_a", "of_b").select(
+            F.col("node").alias("component"), F.col("component").alias("now")
+        )
+        # Nodes that had no link until now are their own components.
+        known = within.unionAll(moved.select(F.col("component").alias("node"), "component"))
+        known = known.groupBy("node").agg(F.min("component").alias("component"))
+        after = known.join(moved, "component", "left")
+        return stored(after.select("node", F.coalesce("now", "component").alias("component")), "within")
+
+    def _rest(self, within: DataFrame, members: DataFrame) -> DataFrame:
+        """Further centres for each bucket, until no pair of components in it is open."""
+        centres_at_once, tested = CENTRES, None
         while True:
-            labelled = members.join(within, "node", "left").withColumn(
-                "component", F.coalesce("component", "node")
-            )
-            open_keys = (
-                labelled.groupBy("key")
-                .agg(
-                    F.min("component").alias("low"),
-                    F.max("component").alias("high"),
-                    F.count_if(~F.col("served")).alias("left"),
-                )
-                .where("low <> high AND left > 0")
-                .select("key")
-            )
-            members = stored(labelled.join(open_keys, "key"), "open")
+            members = stored(self._open(self._labelled(members, within)), "open")
             if members.isEmpty():
-                return links
-            slot = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
-            centres = members.where("NOT served").groupBy("key", slot.alias("slot")).agg(
-                F.min(F.struct("node", "n", "component")).alias("c")
-            )
-            centres = centres.select(
-                "key", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")
+                return within
+            slot = F.pmod(F.xxhash64("node"), F.lit(centres_at_once))
+            centres = (
+                members.where(~F.col("served"))
+                .groupBy("key", slot.alias("slot"))
+                .agg(F.min(F.struct("node", "n", "component")).alias("c"))
+                .select(
+                    "key",
+                    F.col("c.node").alias("centre"),
+                    F.col("c.n").alias("n_centre"),
+                    F.col("c.component").alias("its"),
+                )
             )
+            small = F.col("centre") < F.col("node")
             pairs = (
-                members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), "component")
-                .join(centres, "key")
-                .where("ca <> component AND a <> b")
+                members.join(centres, "key")
+                .where("its <> component")
                 .select(
-                    F.least("a", "b").alias("a"),
-                    F.greatest("a", "b").alias("b"),
-                    F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                    F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
+                    F.least("centre", "node").alias("a"),
+                    F.greatest("centre", "node").alias("b"),
+                    F.when(small, F.col("n_centre")).otherwise(F.col("n")).alias("na"),
+                    F.when(small, F.col("n")).otherwise(F.col("n_centre")).alias("nb"),
                 )
+                .where(self.may_link("na", "nb"))
+                .distinct()
             )
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
             more = stored(self.confirm(pairs), "confirmed")
             if not more.isEmpty():
-                links = links.unionAll(more)
-                within = components(links)
-            now = centres.select("key", F.col("a").alias("node"), F.lit(True).alias("centre"))
+                within = self._joined(within, more)
+            now = centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("centre"))
             members = members.join(now, ["key", "node"], "left").select(
                 "key", "node", "n", (F.col("served") | F.coalesce("centre", F.lit(False))).alias("served")
             )
+            centres_at_once *= CENTRES
 
 
 def _resolve(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -264,7 +330,7 @@ def _resolve(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
         )
     )
     classes = stored(classes, "classes")
-    within = components(_Rounds(docs, classes, size, percent).links())
+    within = _Rounds(docs, classes, size, percent).components()
     labelled = classes.join(within, "node", "left").select(
         "digest",
         "least",
