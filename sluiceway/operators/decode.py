@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions import strict_json
@@ -12,6 +12,9 @@ DOC = "doc"
 REASON = "reason"
 BAD_PAYLOAD = "bad_payload"
 BAD_JSON = "bad_json"
+TOO_LARGE = "too_large"
+# Spark's JSON parser reads no string of more characters and no number of more digits.
+MOST_CHARACTERS, MOST_DIGITS = 20_000_000, 1000
 
 _TEXT = "_text"
 
@@ -19,7 +22,9 @@ _TEXT = "_text"
 def decode(df: DataFrame, value: str = "value") -> DataFrame:
     """Add ``doc`` (VARIANT, null if malformed) and ``reason`` (null if valid).
 
-    A payload, binary or string, must be valid UTF-8 and exactly one JSON document.
+    A payload, binary or string, must be valid UTF-8 and exactly one JSON document. One that
+    could not be parsed and is beyond the parser's limits is ``too_large``, be it well formed
+    or not.
     """
     for name in (DOC, REASON, _TEXT):
         if name in df.columns:
@@ -33,10 +38,16 @@ def decode(df: DataFrame, value: str = "value") -> DataFrame:
         *map(strict_json.sql_name, df.columns),
         DOC,
         f"""CASE WHEN {_TEXT} IS NULL THEN '{BAD_PAYLOAD}'
-            WHEN NOT {strict_json.is_single(DOC)} THEN '{BAD_JSON}' END AS {REASON}""",
+            WHEN {strict_json.is_single(DOC)} THEN NULL
+            WHEN {_beyond_parser(_TEXT)} THEN '{TOO_LARGE}'
+            ELSE '{BAD_JSON}' END AS {REASON}""",
     )
 
 
+def _beyond_parser(text: str) -> str:
+    return f"length({text}) > {MOST_CHARACTERS} OR {text} RLIKE r'[0-9]{{{MOST_DIGITS + 1}}}'"
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.filter(F.col(REASON).isNull())
 
@@ -50,14 +61,6 @@ def error_counts(df: DataFrame) -> DataFrame:
     return rejected(df).groupBy(REASON).agg(F.count("*").alias("rows"))
 
 
-def outcome_metrics(reasons: tuple[str, ...]) -> list[Column]:
-    """Counters for ``DataFrame.observe``: valid rows and rows per reason."""
-    reason = F.col(REASON)
-    return [F.count_if(reason.isNull()).alias("valid")] + [
-        F.count_if(reason == name).alias(name) for name in reasons
-    ]
-
-
 def first_n_valid(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` valid rows in the given order; malformed rows do not count."""
     return accepted(df).orderBy(*order_by).limit(n)

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators.decode import BAD_JSON, BAD_PAYLOAD, REASON, accepted, decode, rejected
+from sluiceway.operators.decode import (
+    BAD_JSON,
+    BAD_PAYLOAD,
+    REASON,
+    TOO_LARGE,
+    accepted,
+    decode,
+    rejected,
+)
 from sluiceway.operators.project import MISSING_REQUIRED, NULL_REQUIRED, project
 from sluiceway.operators.windows import WindowSpec, arrival_windows, count_windows
 from sluiceway.schema import message_schema
@@ -28,7 +36,7 @@ from sluiceway.sinks.tables import (
 
 _RAW = "_raw"
 WINDOW, COUNT_WINDOW = "window_no", "batch_no"
-REASONS = (BAD_PAYLOAD, BAD_JSON, MISSING_REQUIRED, NULL_REQUIRED)
+REASONS = (BAD_PAYLOAD, BAD_JSON, TOO_LARGE, MISSING_REQUIRED, NULL_REQUIRED)
 
 
 @dataclass(frozen=True)
