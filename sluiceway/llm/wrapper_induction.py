@@ -27,6 +27,8 @@ from sluiceway.session import stored
 LEAST_PAGES = 5
 # Skeletons of a host that one task aligns; more are aligned in rounds.
 SKELETONS_AT_ONCE = 500
+# Elements nested deeper than this count as part of the one they are in.
+DEEPEST = 150
 
 # HTML's element names by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -220,21 +222,24 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         flush()
         main = name in MAIN_TAGS or names.get("role") in MAIN_ROLES
         label = f"{name}.{names['class']}" if names.get("class") else name
-        stack.append((name, stack[-1][1].add(label, other, main)))
+        inside = stack[-1][1]
+        if len(stack) <= DEEPEST or (other and not inside.other):
+            inside = inside.add(label, other, main)
+        stack.append((name, inside))
     flush()
     return root, blocks
 
 
 def fold(node: Node) -> None:
-    """Merge each run of siblings with one label into its first."""
-    children: list[Node] = []
+    """Merge the siblings that share a label into the first of them."""
+    children: dict[str, Node] = {}
     for child in node.children:
         fold(child)
-        if children and children[-1].label == child.label:
-            merge(children[-1], child)
+        if child.label in children:
+            merge(children[child.label], child)
         else:
-            children.append(child)
-    node.children = children
+            children[child.label] = child
+    node.children = [*children.values()]
 
 
 def numbered(root: Node) -> Iterator[Node]:
