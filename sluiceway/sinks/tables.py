@@ -134,8 +134,9 @@ def overwrite_batch(
 
 
 def append_table(df: DataFrame, name: str, key: str, fmt: str = "parquet", salt: int = 1) -> None:
-    """Append to a table made by :func:`ensure_table`; rows without a key are left out.
+    """Append to a table made by :func:`ensure_table`.
 
+    Rows without a key are left out; ``null_key_report`` counts them.
     A repeat appends again: use :func:`overwrite_batch` for what may be repeated.
     """
     target = df.sparkSession.table(_quoted(name))
@@ -230,7 +231,7 @@ def write_batch(
     """Write one batch to a directory of its own, so that writing it again changes nothing.
 
     The rows are written once, to a directory that readers skip; only putting it in place is
-    tried again. Rows without a key are left out and counted in the log.
+    tried again. Rows without a key are left out; ``null_key_report`` counts them.
     """
     spark, target = df.sparkSession, batch_path(path, batch_id)
     staged = f"{path.rstrip('/')}/_staged-{batch_id}-{uuid.uuid4().hex}"
