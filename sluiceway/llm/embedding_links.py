@@ -191,7 +191,10 @@ def _tiled(points: DataFrame) -> DataFrame:
         F.lit(False).alias("home"),
         "own",
     )
-    return at_home.unionByName(as_guest).select(*task, *row, "home", "own")
+    rows = at_home.unionByName(as_guest).select(*task, *row, "home", "own")
+    # By all of the task's columns: the joins' partitioning would do for the grouping, and
+    # keep all tiles of a crowded cell in one task.
+    return rows.repartition(*task)
 
 
 _FORWARD = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]

@@ -360,7 +360,9 @@ def _rules(rows: DataFrame) -> DataFrame:
     dealt = skeletons.join(of_host, "host").select(
         "host", F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "skeleton"
     )
-    aligned = stored(dealt.groupBy("host", "part").applyInPandas(_align, ALIGNED), "aligned")
+    # By both columns, or all parts of a large host would be aligned in one task.
+    parts = dealt.repartition("host", "part").groupBy("host", "part")
+    aligned = stored(parts.applyInPandas(_align, ALIGNED), "aligned")
     # Equal texts of one skeleton are counted before templates come in.
     seen = rows.select("host", "key", "whole", F.explode("seen").alias("s"))
     facts = seen.join(aligned, (seen["host"] == aligned["host"]) & (seen["key"] == aligned["key"]) & (F.col("s.slot") == aligned["slot"]))
