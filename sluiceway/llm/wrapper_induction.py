@@ -341,7 +341,10 @@ def main_texts(
         _parsed(F.col(html).cast("string")).alias("p"),
     ).select("page_id", "url", "host", "p.*")
     rows = stored(rows.withColumn("key", F.md5(F.col("skeleton").cast("binary"))), "parsed")
-    return rows.join(_rules(rows), ["host", "key"], "left").select(
+    # Stored, so that their size is known before the join: Spark then broadcasts rules below
+    # its threshold instead of moving the texts to them.
+    rules = stored(_rules(rows), "rules")
+    return rows.join(rules, ["host", "key"], "left").select(
         "page_id", "url", _content().alias("text")
     ).withColumn("n_chars", F.length("text").cast("long"))
 
