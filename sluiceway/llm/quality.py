@@ -25,7 +25,7 @@ from sluiceway.session import stored
 
 FOLDS, TEST_FOLD = 5, 0
 # At most about so many labelled rows, chosen by a hash of their id, train the model.
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 BUCKETS = 1 << 15
 NGRAMS = (3, 4, 5)
 DIM = 8
