@@ -267,10 +267,11 @@ PARSED = record(
     skeleton=T.StringType(),
     slots=T.ArrayType(T.IntegerType()),
     texts=T.ArrayType(T.StringType()),
+    mains=T.ArrayType(T.BooleanType()),
     seen=T.ArrayType(record(slot=T.IntegerType(), hash=T.LongType())),
     whole=T.LongType(),
 )
-ALIGNED = "host string, part long, key string, slot int, node int, main boolean"
+ALIGNED = "host string, part long, key string, slot int, node int"
 
 
 def _hash(texts: list[str]) -> int:
@@ -278,27 +279,30 @@ def _hash(texts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def skeleton_of(page: str | None) -> tuple[str, list[int], list[str]]:
-    """The page's skeleton, and the texts that can be content with their skeleton nodes."""
+def skeleton_of(page: str | None) -> tuple[str, list[int], list[str], list[bool]]:
+    """The page's skeleton, and the texts that can be content with their skeleton nodes.
+
+    Last, whether each text is inside the page's article or main element.
+    """
     root, blocks = parse(page)
     fold(root)
     for _ in numbered(root):
         pass
-    kept = [(node.merged().number, text) for node, text in blocks if not node.other]
+    kept = [(node.merged().number, text, node.main) for node, text in blocks if not node.other]
     data = json.dumps(dump(root), separators=(",", ":"), ensure_ascii=False)
-    return data, [slot for slot, _ in kept], [text for _, text in kept]
+    return data, [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]
 
 
 @F.pandas_udf(PARSED)
 def _parsed(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for page in pages:
-        skeleton, slots, texts = skeleton_of(page)
+        skeleton, slots, texts, mains = skeleton_of(page)
         by_slot: dict[int, list[str]] = {}
         for slot, text in zip(slots, texts, strict=True):
             by_slot.setdefault(slot, []).append(text)
         seen = [(slot, _hash(own)) for slot, own in by_slot.items()]
-        rows.append((skeleton, slots, texts, seen, _hash(texts)))
+        rows.append((skeleton, slots, texts, mains, seen, _hash(texts)))
     return pd.DataFrame(rows, columns=[f.name for f in PARSED])
 
 
@@ -313,13 +317,13 @@ def _align(rows: pd.DataFrame) -> pd.DataFrame:
     for _ in numbered(template):
         pass
     out = [
-        (key, node.number, node.merged().number, node.merged().main)
+        (key, node.number, node.merged().number)
         for key, nodes in zip(rows["key"], trees, strict=True)
         for node in nodes
     ]
-    found = pd.DataFrame(out, columns=["key", "slot", "node", "main"])
+    found = pd.DataFrame(out, columns=["key", "slot", "node"])
     found["host"], found["part"] = rows["host"].iloc[0], rows["part"].iloc[0]
-    return found[["host", "part", "key", "slot", "node", "main"]]
+    return found[["host", "part", "key", "slot", "node"]]
 
 
 def main_texts(
@@ -350,14 +354,17 @@ def main_texts(
 
 
 def _content():
-    blocks = F.arrays_zip("slots", "texts")
-    kept = F.filter(blocks, lambda b: F.array_contains(F.col("content"), b["slots"]))
+    """Texts of the page's varying slots: those in its article or main element, if any are."""
+    blocks = F.arrays_zip("slots", "texts", "mains")
+    varying = F.filter(blocks, lambda b: F.array_contains(F.col("content"), b["slots"]))
+    main = F.filter(varying, lambda b: b["mains"])
+    kept = F.when(F.size(main) > 0, main).otherwise(varying)
     joined = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
     return F.coalesce(joined, F.lit(""))
 
 
 def _rules(rows: DataFrame) -> DataFrame:
-    """For each host and skeleton the numbers of the nodes that hold content."""
+    """For each host and skeleton the numbers of the nodes whose text varies."""
     skeletons = rows.groupBy("host", "key").agg(F.first("skeleton").alias("skeleton"))
     of_host = skeletons.groupBy("host").agg(F.ceil(F.count("*") / SKELETONS_AT_ONCE).alias("parts"))
     dealt = skeletons.join(of_host, "host").select(
@@ -373,11 +380,8 @@ def _rules(rows: DataFrame) -> DataFrame:
         F.min("s.hash").alias("low"),
         F.max("s.hash").alias("high"),
         F.approx_count_distinct("whole", 0.02).alias("pages"),
-        F.max("main").alias("main"),
     )
     constant = (F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_PAGES)
-    slots = by_node.where(~constant).select("host", "part", "node", "main")
-    has_main = slots.groupBy("host", "part").agg(F.max("main").alias("has_main"))
-    content = slots.join(has_main, ["host", "part"]).where("main OR NOT has_main")
-    kept = aligned.drop("main").join(content.drop("main", "has_main"), ["host", "part", "node"])
+    slots = by_node.where(~constant).select("host", "part", "node")
+    kept = aligned.join(slots, ["host", "part", "node"])
     return kept.groupBy("host", "key").agg(F.collect_set("slot").alias("content"))
