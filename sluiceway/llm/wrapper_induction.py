@@ -4,7 +4,8 @@ A page's element tree, with repeated siblings folded into one, is its skeleton.
 skeletons of a host are aligned by simple tree matching into one template; whatever a page
 has at a template node is that node's text there. Nodes whose text is the same on all pages
 belong to the template, nodes whose text varies are slots. Content is what fills the slots
-of the article, outside elements whose tag, role or class says menu, advert and the like.
+of the article, outside elements whose tag or role says menu, advert and the like. Words of
+class and id are evidence only: they count against a text by how little else the page has.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ CLOSED_BY_SAME = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
-# What is never main text, by tag, by ARIA role, and by word of class or id.
+# What is never main text by tag and by ARIA role, and what seldom is by word of
+# class or id.
 OTHER_TAGS = frozenset(
     """head nav header footer aside form menu button select dialog svg canvas audio video object
     script style textarea title noscript template iframe""".split()
@@ -60,6 +62,12 @@ OTHER_WORDS = frozenset(
     login search share sharing social related recommended comment comments reply replies respond
     disqus widget pagination pager copyright disclaimer""".split()
 )
+# Elements that no word of class or id speaks against, nor against what they are in.
+FRAME = frozenset("html body main article".split())
+# Texts in an element with such a word are left out if the texts with less against them are
+# this share of both or more: by a word inside a longer name, and by a name that is the word.
+BY_PART, BY_NAME = 1, 2
+LEAST_SHARE = {BY_PART: 0.1, BY_NAME: 0.01}
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -74,12 +82,13 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """An element of a skeleton or template: label, whether it can be content, children."""
 
-    __slots__ = ("children", "into", "label", "main", "number", "other", "parent")
+    __slots__ = ("against", "children", "into", "label", "main", "number", "other", "parent")
 
     def __init__(self, label: str, other: bool = False, main: bool = False, parent: Node | None = None):
         self.label, self.other, self.main, self.parent = label, other, main, parent
         self.children: list[Node] = []
         self.number = 0
+        self.against = 0  # what class and id say: 0, BY_PART or BY_NAME
         self.into: Node | None = None  # the node this one was merged into
 
     def add(self, label: str, other: bool, main: bool) -> Node:
@@ -208,8 +217,13 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         names = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if attributes else {}
         words = set(_WORD.findall(f"{names.get('class', '')} {names.get('id', '')}")) if names else ()
-        other = name in OTHER_TAGS or names.get("role") in OTHER_ROLES or not OTHER_WORDS.isdisjoint(words)
-        if name in INLINE and not (other and name not in VOID):
+        other = name in OTHER_TAGS or names.get("role") in OTHER_ROLES
+        main = name in MAIN_TAGS or names.get("role") in MAIN_ROLES
+        against = 0
+        if not (main or name in FRAME or OTHER_WORDS.isdisjoint(words)):
+            own = f"{names.get('class', '')} {names.get('id', '')}".split()
+            against = BY_PART if OTHER_WORDS.isdisjoint(own) else BY_NAME
+        if name in INLINE and not ((other or against) and name not in VOID):
             continue
         if name in VOID:
             if name == "hr":
@@ -220,16 +234,27 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         if name in CLOSED_BY_SAME:
             close(CLOSED_BY_SAME[name], frozenset(("ul", "ol", "table", "dl", "select", "menu")))
         flush()
-        main = name in MAIN_TAGS or names.get("role") in MAIN_ROLES
         label = f"{name}.{names['class']}" if names.get("class") else name
         inside = stack[-1][1]
-        if len(stack) <= DEEPEST or (other and not inside.other):
+        if len(stack) <= DEEPEST or (other and not inside.other) or against > inside.against:
             inside = inside.add(label, other, main)
+            inside.against = against
+        around = inside if main else None
+        while around is not None:
+            around.against, around = 0, around.parent
         stack.append((name, inside))
     flush()
+    inherit(root)
     return root, blocks
 
 
+def inherit(root: Node) -> None:
+    """What is said against an element holds for all it contains, but not for an article."""
+    for node in numbered(root):
+        if node.parent is not None:
+            node.against = max(node.against, node.parent.against)
+
+
 def fold(node: Node) -> None:
     """Merge the siblings that share a label into the first of them."""
     children: dict[str, Node] = {}
@@ -268,6 +293,7 @@ PARSED = record(
     slots=T.ArrayType(T.IntegerType()),
     texts=T.ArrayType(T.StringType()),
     mains=T.ArrayType(T.BooleanType()),
+    against=T.ArrayType(T.IntegerType()),
     seen=T.ArrayType(record(slot=T.IntegerType(), hash=T.LongType())),
     whole=T.LongType(),
 )
@@ -279,30 +305,38 @@ def _hash(texts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def skeleton_of(page: str | None) -> tuple[str, list[int], list[str], list[bool]]:
+def skeleton_of(page: str | None) -> tuple[str, list[int], list[str], list[bool], list[int]]:
     """The page's skeleton, and the texts that can be content with their skeleton nodes.
 
-    Last, whether each text is inside the page's article or main element.
+    Then whether each text is inside the page's article or main element, and what words of
+    class and id say against it.
     """
     root, blocks = parse(page)
     fold(root)
     for _ in numbered(root):
         pass
-    kept = [(node.merged().number, text, node.main) for node, text in blocks if not node.other]
+    kept = [
+        (node.merged().number, text, node.main, node.against)
+        for node, text in blocks
+        if not node.other
+    ]
     data = json.dumps(dump(root), separators=(",", ":"), ensure_ascii=False)
-    return data, [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]
+    slots, texts, mains, against = map(list, zip(*kept, strict=True)) if kept else ([], [], [], [])
+    return data, slots, texts, mains, against
 
 
 @F.pandas_udf(PARSED)
 def _parsed(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for page in pages:
-        skeleton, slots, texts, mains = skeleton_of(page)
+        skeleton, slots, texts, mains, against = skeleton_of(page)
         by_slot: dict[int, list[str]] = {}
         for slot, text in zip(slots, texts, strict=True):
             by_slot.setdefault(slot, []).append(text)
         seen = [(slot, _hash(own)) for slot, own in by_slot.items()]
-        rows.append((skeleton, slots, texts, mains, seen, _hash(texts)))
+        # Copies of a page with other adverts are the same page.
+        plain = [text for text, level in zip(texts, against, strict=True) if not level] or texts
+        rows.append((skeleton, slots, texts, mains, against, seen, _hash(plain)))
     return pd.DataFrame(rows, columns=[f.name for f in PARSED])
 
 
@@ -333,7 +367,7 @@ def main_texts(
 
     Pages without a url, or with one that names no host, share a host. A null or empty page
     has an empty text. On a host with too few different pages to compare, nothing counts as
-    template, and tags, roles and classes decide alone. A host with very many skeletons has
+    template, and tags, roles and names decide alone. A host with very many skeletons has
     several templates, each with its own evidence. Other columns are not read.
     """
     prepare(pages.sparkSession)
@@ -348,19 +382,44 @@ def main_texts(
     # Stored, so that their size is known before the join: Spark then broadcasts rules below
     # its threshold instead of moving the texts to them.
     rules = stored(_rules(rows), "rules")
-    return rows.join(rules, ["host", "key"], "left").select(
-        "page_id", "url", _content().alias("text")
-    ).withColumn("n_chars", F.length("text").cast("long"))
+    found = _with_content(rows.join(rules, ["host", "key"], "left"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def _content():
-    """Texts of the page's varying slots: those in its article or main element, if any are."""
-    blocks = F.arrays_zip("slots", "texts", "mains")
+def _with_content(rows: DataFrame) -> DataFrame:
+    """With ``text``: what fills the page's slots in its article or main element, if anything does.
+
+    Texts with a word of class or id against them stay if little else is left.
+    """
+    blocks = F.arrays_zip("slots", "texts", "mains", "against")
     varying = F.filter(blocks, lambda b: F.array_contains(F.col("content"), b["slots"]))
-    main = F.filter(varying, lambda b: b["mains"])
-    kept = F.when(F.size(main) > 0, main).otherwise(varying)
-    joined = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
-    return F.coalesce(joined, F.lit(""))
+    main = F.filter("varying", lambda b: b["mains"])
+
+    def chars(level: int):
+        """Characters of the texts with at most so much against them."""
+        return F.aggregate(
+            F.filter("kept", lambda b: b["against"] <= level),
+            F.lit(0).cast("long"),
+            lambda total, b: total + F.length(b["texts"]),
+        )
+
+    def stays(level: int):
+        less, all_ = F.col(f"chars{level - 1}"), F.col(f"chars{level}")
+        return (less == 0) | (less < LEAST_SHARE[level] * all_)
+
+    found = (
+        rows.withColumn("varying", F.coalesce(varying, F.array()))
+        .withColumn("kept", F.when(F.exists("varying", lambda b: b["mains"]), main).otherwise(F.col("varying")))
+        .withColumns({f"chars{level}": chars(level) for level in (0, BY_PART, BY_NAME)})
+        .withColumns({f"stays{level}": stays(level) for level in (BY_PART, BY_NAME)})
+    )
+    left = F.filter(
+        "kept",
+        lambda b: (b["against"] == 0)
+        | ((b["against"] == BY_PART) & F.col(f"stays{BY_PART}"))
+        | ((b["against"] == BY_NAME) & F.col(f"stays{BY_NAME}")),
+    )
+    return found.withColumn("text", F.array_join(F.transform(left, lambda b: b["texts"]), " "))
 
 
 def _rules(rows: DataFrame) -> DataFrame:
