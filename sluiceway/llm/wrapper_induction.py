@@ -26,7 +26,8 @@ from sluiceway.session import stored
 
 # So many different pages must agree on a node's text before it counts as template.
 LEAST_PAGES = 5
-# Skeletons of a host that one task aligns; more are aligned in rounds.
+# Skeletons of a host that one task aligns; more are aligned in parts, and the templates of the
+# parts in further rounds.
 SKELETONS_AT_ONCE = 500
 # Elements nested deeper than this count as part of the one they are in.
 DEEPEST = 150
@@ -297,7 +298,8 @@ PARSED = record(
     seen=T.ArrayType(record(slot=T.IntegerType(), hash=T.LongType())),
     whole=T.LongType(),
 )
-ALIGNED = "host string, part long, key string, slot int, node int"
+# Which node of its part's template a skeleton's slot became; the template is on one row, slot -1.
+ALIGNED = "host string, part long, key string, slot int, node int, template string"
 
 
 def _hash(texts: list[str]) -> int:
@@ -341,7 +343,7 @@ def _parsed(pages: pd.Series) -> pd.DataFrame:
 
 
 def _align(rows: pd.DataFrame) -> pd.DataFrame:
-    """One template from the skeletons of a host, and each skeleton's nodes in it."""
+    """One template from the skeletons or templates of a host, and each one's nodes in it."""
     rows = rows.sort_values("key", ignore_index=True)
     template, trees = Node(""), []
     for data in rows["skeleton"]:
@@ -355,9 +357,56 @@ def _align(rows: pd.DataFrame) -> pd.DataFrame:
         for key, nodes in zip(rows["key"], trees, strict=True)
         for node in nodes
     ]
-    found = pd.DataFrame(out, columns=["key", "slot", "node"])
+    found = pd.DataFrame([*out, (None, -1, -1)], columns=["key", "slot", "node"])
     found["host"], found["part"] = rows["host"].iloc[0], rows["part"].iloc[0]
-    return found[["host", "part", "key", "slot", "node"]]
+    whole = json.dumps(dump(template), separators=(",", ":"), ensure_ascii=False)
+    found["template"] = [None] * len(out) + [whole]
+    return found[["host", "part", "key", "slot", "node", "template"]]
+
+
+def _dealt(skeletons: DataFrame) -> DataFrame:
+    """Skeletons aligned into one template for each part of a host, each part in one task."""
+    of_host = skeletons.groupBy("host").agg(F.ceil(F.count("*") / SKELETONS_AT_ONCE).alias("parts"))
+    dealt = skeletons.join(of_host, "host").select(
+        "host", F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "skeleton"
+    )
+    # By both columns, or all parts of a large host would be aligned in one task.
+    parts = dealt.repartition("host", "part").groupBy("host", "part")
+    return stored(parts.applyInPandas(_align, ALIGNED), "aligned")
+
+
+def _aligned_hosts(skeletons: DataFrame) -> DataFrame:
+    """host, key, slot and the node of the host's one template that it became.
+
+    The templates of a large host's parts are aligned in further rounds, until it has one.
+    """
+    found = _dealt(skeletons)
+    slots = found.where("slot >= 0").select("host", "part", "key", "slot", "node")
+    while True:
+        several = found.where("slot < 0").groupBy("host").agg(F.count("*").alias("parts")).where("parts > 1")
+        if several.isEmpty():
+            return slots.select("host", "key", "slot", "node")
+        templates = found.where("slot < 0").join(several, "host", "left_semi")
+        found = _dealt(
+            templates.select("host", F.col("part").cast("string").alias("key"), F.col("template").alias("skeleton"))
+        )
+        moved = found.where("slot >= 0").select(
+            "host",
+            F.col("key").cast("long").alias("part"),
+            F.col("slot").alias("node"),
+            F.col("part").alias("next_part"),
+            F.col("node").alias("next_node"),
+        )
+        slots = stored(
+            slots.join(moved, ["host", "part", "node"], "left").select(
+                "host",
+                F.coalesce("next_part", "part").alias("part"),
+                "key",
+                "slot",
+                F.coalesce("next_node", "node").alias("node"),
+            ),
+            "slots",
+        )
 
 
 def main_texts(
@@ -367,8 +416,7 @@ def main_texts(
 
     Pages without a url, or with one that names no host, share a host. A null or empty page
     has an empty text. On a host with too few different pages to compare, nothing counts as
-    template, and tags, roles and names decide alone. A host with very many skeletons has
-    several templates, each with its own evidence. Other columns are not read.
+    template, and tags, roles and names decide alone. Other columns are not read.
     """
     prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]+://([^/?#]+)", 1))
@@ -425,22 +473,16 @@ def _with_content(rows: DataFrame) -> DataFrame:
 def _rules(rows: DataFrame) -> DataFrame:
     """For each host and skeleton the numbers of the nodes whose text varies."""
     skeletons = rows.groupBy("host", "key").agg(F.first("skeleton").alias("skeleton"))
-    of_host = skeletons.groupBy("host").agg(F.ceil(F.count("*") / SKELETONS_AT_ONCE).alias("parts"))
-    dealt = skeletons.join(of_host, "host").select(
-        "host", F.pmod(F.xxhash64("key"), "parts").alias("part"), "key", "skeleton"
-    )
-    # By both columns, or all parts of a large host would be aligned in one task.
-    parts = dealt.repartition("host", "part").groupBy("host", "part")
-    aligned = stored(parts.applyInPandas(_align, ALIGNED), "aligned")
+    aligned = _aligned_hosts(skeletons)
     # Equal texts of one skeleton are counted before templates come in.
     seen = rows.select("host", "key", "whole", F.explode("seen").alias("s"))
     facts = seen.join(aligned, (seen["host"] == aligned["host"]) & (seen["key"] == aligned["key"]) & (F.col("s.slot") == aligned["slot"]))
-    by_node = facts.groupBy(aligned["host"], "part", "node").agg(
+    by_node = facts.groupBy(aligned["host"], "node").agg(
         F.min("s.hash").alias("low"),
         F.max("s.hash").alias("high"),
         F.approx_count_distinct("whole", 0.02).alias("pages"),
     )
     constant = (F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_PAGES)
-    slots = by_node.where(~constant).select("host", "part", "node")
-    kept = aligned.join(slots, ["host", "part", "node"])
+    slots = by_node.where(~constant).select("host", "node")
+    kept = aligned.join(slots, ["host", "node"])
     return kept.groupBy("host", "key").agg(F.collect_set("slot").alias("content"))
