@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A page's element tree, with repeated siblings folded into one, is its skeleton. The
+A page's element tree, with many siblings of one label folded into one, is its skeleton. The
 skeletons of a host are aligned by simple tree matching into one template; whatever a page
-has at a template node is that node's text there. Nodes whose text is the same on all pages
-belong to the template, nodes whose text varies are slots. Content is what fills the slots
+has at a template node is that node's texts there. A text that all pages with the node have
+there belongs to the template, and so does one that most pages have in some sibling of a
+repeated label, wherever it stands among them. Nodes with other texts are slots. Content is what fills the slots
 of the article, outside elements whose tag or role says menu, advert and the like. Words of
 class and id are evidence only: they count against a text by how little else the page has.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +31,11 @@ LEAST_PAGES = 5
 # Skeletons of a host that one task aligns; more are aligned in parts, and the templates of the
 # parts in further rounds.
 SKELETONS_AT_ONCE = 500
+# More siblings of one label than this are folded into one.
+APART = 4
+# A text in siblings of a repeated label is template if at least this share of the pages that
+# have texts in such siblings have it.
+MOST_PAGES = 0.9
 # Elements nested deeper than this count as part of the one they are in.
 DEEPEST = 150
 
@@ -83,12 +90,13 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """An element of a skeleton or template: label, whether it can be content, children."""
 
-    __slots__ = ("against", "children", "into", "label", "main", "number", "other", "parent")
+    __slots__ = ("against", "children", "into", "label", "main", "number", "other", "parent", "repeated")
 
     def __init__(self, label: str, other: bool = False, main: bool = False, parent: Node | None = None):
         self.label, self.other, self.main, self.parent = label, other, main, parent
         self.children: list[Node] = []
         self.number = 0
+        self.repeated = False  # several siblings were folded into it
         self.against = 0  # what class and id say: 0, BY_PART or BY_NAME
         self.into: Node | None = None  # the node this one was merged into
 
@@ -115,6 +123,10 @@ def matched(a: Node, b: Node) -> int:
 
 def _aligned(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[int, int]]]:
     """The best order-preserving pairing of two lists of children, and its weight."""
+    shared = {a.label for a in left} & {b.label for b in right}
+    lefts = [i for i, a in enumerate(left) if a.label in shared]
+    rights = [j for j, b in enumerate(right) if b.label in shared]
+    left, right = [left[i] for i in lefts], [right[j] for j in rights]
     best = [[0] * (len(right) + 1)]
     weights: dict[tuple[int, int], int] = {}
     for i, a in enumerate(left, 1):
@@ -128,7 +140,7 @@ def _aligned(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[int,
     while i and j:
         if weights[i, j] and best[i][j] == best[i - 1][j - 1] + weights[i, j]:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((lefts[i], rights[j]))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
@@ -142,7 +154,7 @@ def merge(template: Node, tree: Node) -> None:
     Every node of ``tree`` then knows the node it became part of.
     """
     tree.into = template
-    template.main |= tree.main
+    template.repeated |= tree.repeated
     if not tree.children:
         return
     pairs = {}
@@ -257,15 +269,24 @@ def inherit(root: Node) -> None:
 
 
 def fold(node: Node) -> None:
-    """Merge the siblings that share a label into the first of them."""
-    children: dict[str, Node] = {}
+    """Merge siblings that share a label into the first of them, if they are more than APART."""
+    if node.other:
+        node.children = []  # nothing in it can be content
+        return
+    often = Counter(child.label for child in node.children)
+    first: dict[str, Node] = {}
+    kept = []
     for child in node.children:
         fold(child)
-        if child.label in children:
-            merge(children[child.label], child)
+        if often[child.label] <= APART:
+            kept.append(child)
+        elif child.label in first:
+            merge(first[child.label], child)
         else:
-            children[child.label] = child
-    node.children = [*children.values()]
+            child.repeated = True
+            first[child.label] = child
+            kept.append(child)
+    node.children = kept
 
 
 def numbered(root: Node) -> Iterator[Node]:
@@ -279,13 +300,36 @@ def numbered(root: Node) -> Iterator[Node]:
         yield node
 
 
+def families(root: Node) -> dict[int, tuple[int, bool]]:
+    """For each number the family of its node, and whether a label is repeated in the family.
+
+    A family are the siblings of one label, and further down what has one label in a family.
+    """
+    family: dict[int, int] = {root.number: root.number}
+    of_label: dict[tuple[int, str], int] = {}
+    repeated: dict[int, bool] = {root.number: False}
+    for node in numbered(root):
+        for child in node.children:
+            own = family[node.number]
+            first = of_label.get((own, child.label))
+            if first is None:
+                first = of_label[own, child.label] = child.number
+                repeated[first] = repeated[own]
+            else:
+                repeated[first] = True
+            repeated[first] |= child.repeated
+            family[child.number] = first
+    return {number: (first, repeated[first]) for number, first in family.items()}
+
+
 def dump(node: Node) -> list:
-    return [node.label, int(node.other), int(node.main), [dump(child) for child in node.children]]
+    return [node.label, int(node.repeated), [dump(child) for child in node.children]]
 
 
 def load(data: list, parent: Node | None = None) -> Node:
-    node = Node(data[0], bool(data[1]), bool(data[2]), parent)
-    node.children = [load(child, node) for child in data[3]]
+    node = Node(data[0], parent=parent)
+    node.repeated = bool(data[1])
+    node.children = [load(child, node) for child in data[2]]
     return node
 
 
@@ -295,11 +339,13 @@ PARSED = record(
     texts=T.ArrayType(T.StringType()),
     mains=T.ArrayType(T.BooleanType()),
     against=T.ArrayType(T.IntegerType()),
-    seen=T.ArrayType(record(slot=T.IntegerType(), hash=T.LongType())),
     whole=T.LongType(),
 )
 # Which node of its part's template a skeleton's slot became; the template is on one row, slot -1.
-ALIGNED = "host string, part long, key string, slot int, node int, template string"
+ALIGNED = (
+    "host string, part long, key string, slot int, node int, family int, repeated boolean, template string"
+)
+SLOT = ["host", "part", "key", "slot", "node", "family", "repeated"]
 
 
 def _hash(texts: list[str]) -> int:
@@ -332,13 +378,9 @@ def _parsed(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for page in pages:
         skeleton, slots, texts, mains, against = skeleton_of(page)
-        by_slot: dict[int, list[str]] = {}
-        for slot, text in zip(slots, texts, strict=True):
-            by_slot.setdefault(slot, []).append(text)
-        seen = [(slot, _hash(own)) for slot, own in by_slot.items()]
         # Copies of a page with other adverts are the same page.
         plain = [text for text, level in zip(texts, against, strict=True) if not level] or texts
-        rows.append((skeleton, slots, texts, mains, against, seen, _hash(plain)))
+        rows.append((skeleton, slots, texts, mains, against, _hash(plain)))
     return pd.DataFrame(rows, columns=[f.name for f in PARSED])
 
 
@@ -352,16 +394,17 @@ def _align(rows: pd.DataFrame) -> pd.DataFrame:
         merge(template, tree)
     for _ in numbered(template):
         pass
+    kin = families(template)
     out = [
-        (key, node.number, node.merged().number)
+        (key, node.number, node.merged().number, *kin[node.merged().number])
         for key, nodes in zip(rows["key"], trees, strict=True)
         for node in nodes
     ]
-    found = pd.DataFrame([*out, (None, -1, -1)], columns=["key", "slot", "node"])
+    found = pd.DataFrame([*out, (None, -1, -1, -1, False)], columns=SLOT[2:])
     found["host"], found["part"] = rows["host"].iloc[0], rows["part"].iloc[0]
     whole = json.dumps(dump(template), separators=(",", ":"), ensure_ascii=False)
     found["template"] = [None] * len(out) + [whole]
-    return found[["host", "part", "key", "slot", "node", "template"]]
+    return found[[*SLOT, "template"]]
 
 
 def _dealt(skeletons: DataFrame) -> DataFrame:
@@ -376,16 +419,16 @@ def _dealt(skeletons: DataFrame) -> DataFrame:
 
 
 def _aligned_hosts(skeletons: DataFrame) -> DataFrame:
-    """host, key, slot and the node of the host's one template that it became.
+    """host, key, slot, and the node of the host's one template that it became, with its family.
 
     The templates of a large host's parts are aligned in further rounds, until it has one.
     """
     found = _dealt(skeletons)
-    slots = found.where("slot >= 0").select("host", "part", "key", "slot", "node")
+    slots = found.where("slot >= 0").select(*SLOT)
     while True:
         several = found.where("slot < 0").groupBy("host").agg(F.count("*").alias("parts")).where("parts > 1")
         if several.isEmpty():
-            return slots.select("host", "key", "slot", "node")
+            return slots.drop("part")
         templates = found.where("slot < 0").join(several, "host", "left_semi")
         found = _dealt(
             templates.select("host", F.col("part").cast("string").alias("key"), F.col("template").alias("skeleton"))
@@ -394,16 +437,11 @@ def _aligned_hosts(skeletons: DataFrame) -> DataFrame:
             "host",
             F.col("key").cast("long").alias("part"),
             F.col("slot").alias("node"),
-            F.col("part").alias("next_part"),
-            F.col("node").alias("next_node"),
+            *(F.col(c).alias(f"next_{c}") for c in ("part", "node", "family", "repeated")),
         )
         slots = stored(
             slots.join(moved, ["host", "part", "node"], "left").select(
-                "host",
-                F.coalesce("next_part", "part").alias("part"),
-                "key",
-                "slot",
-                F.coalesce("next_node", "node").alias("node"),
+                *(F.coalesce(f"next_{c}", c).alias(c) if f"next_{c}" in moved.columns else c for c in SLOT)
             ),
             "slots",
         )
@@ -440,7 +478,11 @@ def _with_content(rows: DataFrame) -> DataFrame:
     Texts with a word of class or id against them stay if little else is left.
     """
     blocks = F.arrays_zip("slots", "texts", "mains", "against")
-    varying = F.filter(blocks, lambda b: F.array_contains(F.col("content"), b["slots"]))
+
+    def template(b):
+        return F.array_contains("template", F.struct(b["slots"].alias("slot"), F.xxhash64(b["texts"]).alias("hash")))
+
+    varying = F.filter(blocks, lambda b: ~F.coalesce(template(b), F.lit(False)))
     main = F.filter("varying", lambda b: b["mains"])
 
     def chars(level: int):
@@ -471,18 +513,60 @@ def _with_content(rows: DataFrame) -> DataFrame:
 
 
 def _rules(rows: DataFrame) -> DataFrame:
-    """For each host and skeleton the numbers of the nodes whose text varies."""
+    """For each host and skeleton that has any, the template texts: hashes with their slots."""
     skeletons = rows.groupBy("host", "key").agg(F.first("skeleton").alias("skeleton"))
-    aligned = _aligned_hosts(skeletons)
-    # Equal texts of one skeleton are counted before templates come in.
-    seen = rows.select("host", "key", "whole", F.explode("seen").alias("s"))
-    facts = seen.join(aligned, (seen["host"] == aligned["host"]) & (seen["key"] == aligned["key"]) & (F.col("s.slot") == aligned["slot"]))
-    by_node = facts.groupBy(aligned["host"], "node").agg(
-        F.min("s.hash").alias("low"),
-        F.max("s.hash").alias("high"),
-        F.approx_count_distinct("whole", 0.02).alias("pages"),
+    slots = _aligned_hosts(skeletons)
+    nodes = slots.groupBy("host", "key").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "node", "family", "repeated"))).alias("nodes")
+    )
+    # Pages with the same texts count once.
+    own = F.struct("key", "slots", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"))
+    pages = rows.groupBy("host", "whole").agg(F.min(own).alias("own")).select("host", "own.*")
+    placed = pages.join(nodes, ["host", "key"]).select(
+        "host",
+        # Slots are numbered from 0 without gaps.
+        F.transform(
+            F.arrays_zip("slots", "hashes"),
+            lambda b: F.struct(F.get("nodes", b["slots"]).alias("at"), b["hashes"].alias("hash")),
+        ).alias("placed"),
+    )
+
+    def places(of: str, kind: int, blocks, hashed: bool):
+        """Where a page has which text, or without the hash that it has a text there at all."""
+        return F.transform(
+            blocks,
+            lambda b: F.struct(
+                F.lit(kind).alias("kind"),
+                b["at"][of].alias("place"),
+                (b["hash"] if hashed else F.lit(None).cast("long")).alias("hash"),
+            ),
+        )
+
+    repeated = F.filter("placed", lambda b: b["at"]["repeated"])
+    had = F.array_distinct(
+        F.concat(
+            *(places("node", 0, F.col("placed"), hashed) for hashed in (True, False)),
+            *(places("family", 1, repeated, hashed) for hashed in (True, False)),
+        )
+    )
+    counted = (
+        placed.select("host", F.explode(had).alias("p"))
+        .groupBy("host", "p.kind", "p.place", "p.hash")
+        .agg(F.count("*").alias("pages"))
+        .where(F.col("pages") >= LEAST_PAGES)
+    )
+    counted = stored(counted, "texts")
+    total = counted.where("hash IS NULL").select("host", "kind", "place", F.col("pages").alias("of"))
+    least = F.when(F.col("kind") == 0, F.col("of")).otherwise(MOST_PAGES * F.col("of"))
+    template = (
+        counted.where("hash IS NOT NULL")
+        .join(total, ["host", "kind", "place"])
+        .where(F.col("pages") >= least)
+        .select("host", "kind", "place", "hash")
+    )
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("node").alias("place")),
+        F.struct(F.lit(1).alias("kind"), F.col("family").alias("place")),
     )
-    constant = (F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_PAGES)
-    slots = by_node.where(~constant).select("host", "node")
-    kept = aligned.join(slots, ["host", "node"])
-    return kept.groupBy("host", "key").agg(F.collect_set("slot").alias("content"))
+    found = slots.select("host", "key", "slot", F.inline(kinds)).join(template, ["host", "kind", "place"])
+    return found.groupBy("host", "key").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
