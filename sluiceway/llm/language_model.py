@@ -10,12 +10,17 @@ the arcs taken add up.
 The automaton is as large as the corpus, so no task holds it. Documents are dealt into
 blocks of bounded size. Each block sends the distinct words and pairs it needs, with their
 training counts, to the bucket of their hash; a bucket adds up the counts of all blocks and
-answers each block in the block's own order. With the answers a block has the part of the
-automaton that its documents can reach.
+answers each block in the block's own order. With the answers a block has the counts of the
+part of the automaton that its documents can reach. States have a depth of one, the last word
+alone, so no arcs are built and no state is carried along: all steps are weighed as arrays.
+
+How much of a state's probability its own arcs get is learned from the training tokens, each
+left out of the counts in turn, for states of like counts (:func:`learned_shares`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -31,11 +36,14 @@ from sluiceway.session import stored
 FOLDS, TEST_FOLD = 7, 2
 BLOCK_BYTES = 8 << 20
 KEPT_WORDS = 400_000
-# Share of a state's probability that its own arcs get, by the doublings of its count; the
-# failure arc has the rest. The last holds for all larger counts.
+# Share of a state's probability that its own arcs get if none are learned, by the doublings of
+# its count; the failure arc has the rest. The last holds for all larger counts.
 OWN_SHARE = (
     *(0.4, 0.3, 0.3, 0.3, 0.3, 0.4, 0.4, 0.5, 0.5, 0.5, 0.5, 0.6, 0.6, 0.7, 0.7, 0.7, 0.8),
 )
+# Shares that are tried for each doubling, and the doublings of all counts below 2 ** 48.
+TRIED = tuple(i / 40 for i in range(1, 40)) + (0.985, 0.99, 0.995, 0.998, 0.999)
+DOUBLINGS = 48
 
 # Keys of counts: a hash with what is counted in its two lowest bits.
 BEGIN, WORD, PAIR = 0, 1, 2
@@ -170,19 +178,23 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _doublings(count: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(count, 1))[1] - 1
+
+
 class Automaton:
     """The part of the backoff automaton that a block can reach, from its counts."""
 
-    def __init__(self, words: int, tokens: int):
+    def __init__(self, words: int, tokens: int, shares: Sequence[float] = OWN_SHARE):
         self.all = tokens + words + 1
+        self.shares = np.array(shares)
 
     def root_weights(self, count: np.ndarray) -> np.ndarray:
         """Add-one log-probabilities; every unknown word counts as one further word."""
         return np.log10((count + 1) / self.all)
 
     def own_share(self, state_count: np.ndarray) -> np.ndarray:
-        doublings = np.frexp(np.maximum(state_count, 1))[1] - 1
-        share = np.array(OWN_SHARE)[np.minimum(doublings, len(OWN_SHARE) - 1)]
+        share = self.shares[np.minimum(_doublings(state_count), len(self.shares) - 1)]
         return np.where(state_count > 0, share, 0.0)
 
     def weights(self, word: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -197,23 +209,74 @@ class Automaton:
         return np.where(pair > 0, np.log10(own + (1 - share) * 10.0**root), failure)
 
 
-def _scorer(words: int, tokens_in_all: int, key_type: T.DataType):
-    automaton = Automaton(words, tokens_in_all)
+def _counts(rows: pd.DataFrame, answers: pd.DataFrame):
+    """Each document's number of tokens, and each token's counts: word, state and pair."""
+    tokens, pairs, sizes = _read(rows["text"].tolist())
+    keys, place = _needed(tokens, pairs)
+    blobs = answers.sort_values("bucket")["counts"]
+    totals = np.concatenate([_grow(blob) for blob in blobs]).astype("float64")
+    if len(totals) != len(keys):
+        raise RuntimeError("a block has changed since it asked for its counts")
+    counts = totals[place]
+    word, pair = counts[1 : 1 + len(tokens)], counts[1 + len(tokens) :]
+    state = np.roll(word, 1)
+    state[np.cumsum(sizes) - sizes] = counts[0]
+    return sizes, word, state, pair
+
+
+EVIDENCE = record(doubling=T.IntegerType(), tried=T.IntegerType(), fit=T.DoubleType())
+
+
+def _witness(tokens_in_all: int, words: int):
+    """What a block's training tokens say for each share that is tried."""
+    all_but_one = tokens_in_all + words
+
+    def witness(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and rows["train"].any():
+            sizes, word, state, pair = _counts(rows, answers)
+            # A state seen once has no arc left without its only token.
+            use = np.repeat(rows["train"].to_numpy("bool"), sizes) & (state > 1)
+            own = (pair[use] - 1) / (state[use] - 1)
+            root = word[use] / all_but_one
+            doubling = _doublings(state[use] - 1)
+            for at, share in enumerate(TRIED):
+                fit = np.bincount(doubling, weights=np.log(share * own + (1 - share) * root))
+                out += [(d, at, float(fit[d])) for d in np.flatnonzero(fit).tolist()]
+        return pd.DataFrame(out, columns=[f.name for f in EVIDENCE])
+
+    return witness
+
+
+def learned_shares(fits: dict[tuple[int, int], float]) -> list[float]:
+    """The likeliest share for each doubling of a state's count, none of them 0 or 1.
+
+    ``fits`` has the log-likelihood of the training tokens by doubling and place in TRIED.
+    Each token is left out of its counts, so a state seen n times speaks for those seen n - 1.
+    A doubling without tokens gets the share of the next lower one, or 0.5.
+    """
+    shares: list[float] = []
+    for doubling in range(DOUBLINGS):
+        if any((doubling, at) in fits for at in range(len(TRIED))):
+            # One token for and one against, so that little evidence gives no extreme.
+            fit = [
+                fits.get((doubling, at), 0.0) + np.log(share) + np.log(1 - share)
+                for at, share in enumerate(TRIED)
+            ]
+            shares.append(TRIED[int(np.argmax(fit))])
+        else:
+            shares.append(shares[-1] if shares else 0.5)
+    return shares
+
+
+def _scorer(words: int, tokens_in_all: int, key_type: T.DataType, shares: Sequence[float]):
+    automaton = Automaton(words, tokens_in_all, shares)
 
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[f.name for f in schema])
-        tokens, pairs, sizes = _read(rows["text"].tolist())
-        keys, place = _needed(tokens, pairs)
-        blobs = answers.sort_values("bucket")["counts"]
-        totals = np.concatenate([_grow(blob) for blob in blobs]).astype("float64")
-        if len(totals) != len(keys):
-            raise RuntimeError("a block has changed since it asked for its counts")
-        counts = totals[place]
-        word, pair = counts[1 : 1 + len(tokens)], counts[1 + len(tokens) :]
+        sizes, word, state, pair = _counts(rows, answers)
         begins = np.cumsum(sizes) - sizes
-        state = np.roll(word, 1)
-        state[begins] = counts[0]
         steps = automaton.weights(word, state, pair)
         base = automaton.root_weights(word)
         return pd.DataFrame(
@@ -244,11 +307,18 @@ def _scorer(words: int, tokens_in_all: int, key_type: T.DataType):
     return score, schema
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shares: Sequence[float] | None = OWN_SHARE,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null, empty or blank text is its end token alone. Rows without an id are held out.
-    Without training documents every word is unknown. Other columns are not read.
+    Without training documents every word is unknown. ``shares`` are what a state's own arcs
+    get, by the doublings of its count; None learns them from the training documents, which
+    reads the texts once more. Other columns are not read.
     """
     prepare(docs.sparkSession)
     rows = docs.select(
@@ -262,9 +332,11 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     asked = blocks.groupBy("block").applyInPandas(_asker(count), ASKED)
     answers = stored(asked.groupBy("bucket").applyInPandas(_answer, ANSWERED), "counts")
     words, tokens = answers.agg(F.sum("words"), F.sum("tokens")).first()
-    score, schema = _scorer(words or 0, tokens or 0, rows.schema["key"].dataType)
-    return (
-        blocks.groupBy("block")
-        .cogroup(answers.select("block", "bucket", "counts").groupBy("block"))
-        .applyInPandas(score, schema)
-    )
+    dealt = blocks.groupBy("block").cogroup(answers.select("block", "bucket", "counts").groupBy("block"))
+    if shares is None:
+        evidence = dealt.applyInPandas(_witness(tokens or 0, words or 0), EVIDENCE)
+        # At most DOUBLINGS times TRIED rows.
+        fits = evidence.groupBy("doubling", "tried").agg(F.sum("fit").alias("fit")).collect()
+        shares = learned_shares({(r["doubling"], r["tried"]): r["fit"] for r in fits})
+    score, schema = _scorer(words or 0, tokens or 0, rows.schema["key"].dataType, shares)
+    return dealt.applyInPandas(score, schema)

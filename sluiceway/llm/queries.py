@@ -100,7 +100,7 @@ FROM least LEFT JOIN sizes USING (doc_id)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scored(table(spark, sf_dir, "documents"))
+    return language_model.scored(table(spark, sf_dir, "documents"), shares=None)
 
 
 def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
