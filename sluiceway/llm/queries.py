@@ -10,11 +10,14 @@ from sluiceway.llm import (
     chat,
     decontamination,
     embedding_links,
+    hard_negatives,
     language_model,
+    line_dedup,
     near_duplicates,
     packing,
     quality,
     secret_scan,
+    spelling_variants,
     toxicity,
     wrapper_induction,
 )
@@ -173,6 +176,61 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)]), 0) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM usable WHERE vec_id % 100 = 0) a
+  JOIN usable b ON len(a.e) = len(b.e) AND (a.label <> b.label OR a.vec_id <> b.vec_id)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+    ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.digests(line_dedup.without_shared_lines(docs, min_docs=10, keep_first=False))
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS s
+  FROM documents
+), keyed AS (
+  SELECT doc, doc_id, line, place, regexp_replace(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k
+  FROM (SELECT doc, doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS place FROM split)
+), shared AS (
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(shared.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (shared.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared ON shared.k = keyed.k GROUP BY doc, doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -185,6 +243,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_perspectives": op9_perspectives,
         "op10_quality": op10_quality,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
@@ -194,4 +255,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_duplicates": OP4_SQL,
         "op6_embedding_links": OP6_SQL,
         "op9_perspectives": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op13_line_dedup": OP13_SQL,
     }
