@@ -3,10 +3,10 @@
 A word marked with a terminator has a rotation for each place of its characters. Two words
 that differ in one character have rotations that agree up to the last one, which is the
 edited one; a word that lacks a character is itself the prefix of the rotation that ends in
-it. So rotations meet under that prefix, and a group holds at most one word without the
-skipped character and one word for each character of the alphabet: its size is bounded by
-the alphabet. Each member of a group leaves it as one row, with its number of neighbours
-there and the best of them.
+it. So rotations are sorted and read in ranges of that prefix. A range holds at most one
+word without the skipped character and one word for each character of the alphabet: its
+size is bounded by the alphabet. Each member leaves it as one row, with its number of
+neighbours there and the best of them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,10 @@ LEAST_COUNT = 5
 RATIO = 5
 WORDS_AT_ONCE = 200_000
 
+ROTATED = record(
+    prefix=T.StringType(), skipped=T.StringType(), leads=T.BooleanType(), n=T.LongType()
+)
+NEAR = record(word=T.StringType(), n_near=T.LongType(), near_n=T.LongType(), near=T.StringType())
 COUNTED = record(word=T.StringType(), n=T.LongType())
 LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 
@@ -120,50 +126,76 @@ def rotations(words: DataFrame) -> DataFrame:
     return places.select("n", F.explode(both).alias("r")).select("r.*", "n")
 
 
+def _near(prefix: str, members: list[tuple[str, bool, int]]) -> Iterator[tuple[str, int, int, str]]:
+    """For each member that has neighbours: word, their number, count and name of the best."""
+    after, before = prefix.split(TERMINATOR)
+    ordered = sorted((-n, before + skipped + after, skipped, leads) for skipped, leads, n in members)
+    cut = sum(skipped != "" for _, _, skipped, _ in ordered)
+    leading = sum(leads for _, _, _, leads in ordered)
+    whole = len(ordered) - cut
+    for own in ordered:
+        _, word, skipped, leads = own
+        count = cut - 1 + (whole if leads else 0) if skipped else leading
+        if count:
+            # A whole rotation and a cut one are near where the cut one leads.
+            best = next(
+                b
+                for b in ordered
+                if b is not own and (leads or b[2] if skipped else b[3])
+            )
+            yield word, count, -best[0], best[1]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read sorted rotations group by group; the last group of a batch waits for the next."""
+    waiting: pa.Table | None = None
+
+    def scanned(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        # Rows of groups with one member need not leave Arrow.
+        kept = rows.filter(pa.array(np.repeat(sizes > 1, sizes)))
+        prefixes, skipped, leads, n = (kept.column(c).to_pylist() for c in ROTATED.names)
+        out, at = [], 0
+        for size in sizes[sizes > 1].tolist():
+            members = list(zip(skipped[at : at + size], leads[at : at + size], n[at : at + size], strict=True))
+            out.extend(_near(prefixes[at], members))
+            at += size
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, NEAR.names)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if waiting is not None:
+            rows = pa.concat_tables([waiting, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        prefix = rows.column("prefix").combine_chunks()
+        same = pc.equal(prefix.slice(1), prefix.slice(0, len(prefix) - 1))
+        starts = np.flatnonzero(np.append(True, ~same.to_numpy(zero_copy_only=False)))
+        last = int(starts[-1])
+        yield scanned(rows.slice(0, last), starts[:-1])
+        waiting = rows.slice(last)
+    if waiting is not None:
+        yield scanned(waiting, np.array([0]))
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """``word``, ``n_near`` and its best near word (``near_n``, ``near``), where there is one.
 
-    Near words differ by exactly one inserted, deleted or replaced character. A pair that
-    differs by one of several equal letters in a row meets in as many groups; it counts in
-    the group of the first of them (``leads``).
+    Near words differ by exactly one inserted, deleted or replaced character. All rotations
+    are sorted over the cluster; the range of a prefix holds the rotation that equals it and
+    those with one more character. A pair that differs by one of several equal letters in a
+    row meets in as many ranges; it counts in that of the first of them (``leads``).
     """
-    # The range of a prefix holds the rotation that equals it and those one longer.
-    groups = (
-        rotations(words)
-        .groupBy("prefix")
-        .agg(F.collect_list(F.struct("n", "skipped", "leads")).alias("m"))
-        .where(F.size("m") > 1)
-    )
-    split = groups.select(
-        F.substring_index("prefix", TERMINATOR, -1).alias("x"),
-        F.substring_index("prefix", TERMINATOR, 1).alias("y"),
-        "m",
-    )
-    spelled = F.transform(
-        "m",
-        lambda e: F.struct(
-            (-e["n"]).alias("less"),
-            F.concat("x", e["skipped"], "y").alias("word"),
-            (e["skipped"] == "").alias("whole"),
-            e["leads"].alias("leads"),
-        ),
-    )
-    ordered = split.select(F.array_sort(spelled).alias("m"))
-
-    def near(a, b):
-        return F.when(a["whole"], b["leads"]).when(b["whole"], a["leads"]).otherwise(
-            a["word"] != b["word"]
-        )
-
-    def of_member(a):
-        others = F.filter("m", lambda b: near(a, b))
-        return F.struct(a["word"].alias("word"), F.size(others).alias("n"), F.get(others, F.lit(0)).alias("best"))
-
-    members = ordered.select(F.explode(F.transform("m", of_member)).alias("e")).where("e.n > 0")
+    ranges = rotations(words).repartitionByRange("prefix").sortWithinPartitions("prefix")
+    members = ranges.mapInArrow(_scan, NEAR)
+    best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     return (
-        members.groupBy("e.word")
-        .agg(F.sum("e.n").alias("n_near"), F.min(F.struct("e.best.less", "e.best.word")).alias("best"))
-        .select("word", "n_near", (-F.col("best.less")).alias("near_n"), F.col("best.word").alias("near"))
+        members.groupBy("word")
+        .agg(F.sum("n_near").alias("n_near"), best.alias("best"))
+        .select("word", "n_near", (-F.col("best.less")).alias("near_n"), "best.near")
     )
 
 
