@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ordinals import with_ordinal
+from sluiceway.operators.ordinals import with_next, with_ordinal
 from sluiceway.operators.split import keyed, split_in_order
 
 
@@ -25,6 +25,18 @@ def cdc_order(
     return with_ordinal(keyed(df, key), [ts, seq], [key], name)
 
 
+def cdc_history(
+    df: DataFrame, key: str, ts: str, seq: str, valid_to: str = "valid_to"
+) -> DataFrame:
+    """Add ``valid_to``, the time of the next change of the key; null while a change is valid.
+
+    A change is valid from its own time; one of several at the same time has an empty span,
+    but for the last by ``seq``. What the next range of rows begins with is carried back to
+    the end of the one before, one row per range, so a key of any size is spread over tasks.
+    """
+    return with_next(keyed(df, key), [ts, seq], [key], ts, valid_to)
+
+
 def last_changes(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     """The last change of every key, deletions included.
 

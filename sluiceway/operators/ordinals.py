@@ -93,3 +93,33 @@ def _inside_keys(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     numbered = rows.withColumn("_inside", F.row_number().over(inside)).join(carried, "_part")
     carry = F.when(key.eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(F.lit(0))
     return numbered.withColumn(name, (F.col("_inside") + carry).cast("bigint"))
+
+
+def with_next(
+    df: DataFrame, order_by: list[str], partition_by: list[str], value: str, name: str
+) -> DataFrame:
+    """Add ``name``, the ``value`` of the next row of the same key; null for the last one.
+
+    ``order_by`` must order the rows of a key totally.
+    """
+    rows = _in_ranges(df, [*partition_by, *order_by], None)
+    columns = [c for c in rows.columns if c not in ("_row", "_part")]
+    if name in columns:
+        raise ValueError(f"Column {name} already exists")
+    key = F.struct(*partition_by)
+    # What every range begins with, seen from the one before. One row per range.
+    first = rows.groupBy("_part").agg(
+        F.min_by(F.struct(key.alias("key"), F.col(value).alias("value")), "_row").alias("_first")
+    )
+    later = stored(
+        first.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_later")), "later"
+    )
+    inside = Window.partitionBy("_part", *partition_by).orderBy("_row")
+    followed = rows.withColumn("_next", F.lead("_row").over(inside)).withColumn(
+        name, F.lead(value).over(inside)
+    )
+    carried = followed.join(F.broadcast(later), "_part")
+    goes_on = F.col("_next").isNull() & key.eqNullSafe(F.col("_later.key"))
+    return carried.withColumn(name, F.when(goes_on, F.col("_later.value")).otherwise(F.col(name))).select(
+        *columns, name
+    )
