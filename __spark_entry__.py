@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import cdc, decode, project, split, windows
+from sluiceway.plans import event_queries
 from sluiceway.plans.ingest import ingest_batch, typed_messages
 from sluiceway.plans.sample_messages import CODE, MESSAGE, SCALARS, event_messages, scalar_messages
 from sluiceway.schema import message_schema
@@ -279,7 +279,8 @@ def _ingested_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingested_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch in a catalog table, made twice: the second time changes nothing."""
-    name = f"ingested_{uuid.uuid4().hex}"
+    name = "sluiceway_ingested"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     for _ in range(2):
         ingest_batch(_messages(spark, sf_dir), MESSAGE, "count", table=name, batch_id=3)
     return spark.table(name).select("name", "size", "count", "batch_id")
@@ -408,6 +409,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "padded_payloads": _padded_payloads,
         "worker_throughput": _worker_throughput,
         "total_throughput": _total_throughput,
+        **event_queries.queries(),
         **_training_data_queries(),
     }
 
@@ -538,9 +540,12 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT event_id, value, reason FROM checked WHERE reason IS NOT NULL",
         "error_counts": _MESSAGES
         + "SELECT reason, count(*) AS rows FROM checked WHERE reason IS NOT NULL GROUP BY reason",
-        "first_n_valid": _MESSAGES
-        + f"""SELECT event_id, value FROM checked WHERE reason IS NULL
-            ORDER BY event_id LIMIT {FIRST_N}""",
+        **dict.fromkeys(
+            ("first_n_valid", "first_n_valid_in_steps", "stream_first_n_valid"),
+            _MESSAGES
+            + f"""SELECT event_id, value FROM checked WHERE reason IS NULL
+                ORDER BY event_id LIMIT {FIRST_N}""",
+        ),
         "typed_projection": _MESSAGES + 'SELECT event_id, name, size, "count" FROM valid',
         "typed_scalars": _SCALARS
         + """SELECT event_id,
@@ -680,5 +685,6 @@ def oracle_sql() -> dict[str, str]:
                 CAST(count(*) AS DOUBLE) * 1000000
                     / nullif(date_diff('microsecond', min(ts), max(ts)), 0) AS per_second
             FROM events""",
+        **event_queries.oracle_sql(),
         **_training_data_sql(),
     }
