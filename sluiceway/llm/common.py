@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,41 @@ def held_out(key: str, parts: int, remainder: int) -> Column:
     return F.coalesce(fold(key, parts) == remainder, F.lit(True))
 
 
+class Remembered(dict):
+    """What a function gave for strings or bytes, up to about ``most`` bytes; then it starts
+    anew, also in the middle of a text."""
+
+    # What an entry takes besides the bytes of its key and value.
+    ENTRY = 200
+
+    def __init__(self, found: Callable, most: int):
+        super().__init__()
+        self.found, self.most, self.size = found, most, 0
+
+    def __missing__(self, key):
+        value = self.found(key)
+        size = self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.size + size > self.most:
+            self.clear()
+        self[key] = value
+        self.size += size
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
+
+@contextmanager
+def forgotten(*remembered: Remembered) -> Iterator[None]:
+    """Empty these on leaving: Python workers live on from one task to the next."""
+    try:
+        yield
+    finally:
+        for one in remembered:
+            one.clear()
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased, as UTF-8 bytes."""
     # bytes.lower and bytes.split know ASCII only: 0x09-0x0D and 0x20 separate words.

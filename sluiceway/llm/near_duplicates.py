@@ -6,12 +6,13 @@ first. Bands of bins give buckets. Documents with equal shingle sets are one cla
 only classes meet in buckets. A bucket's members are paired with its centre, not with each
 other, and pairs are confirmed on whole sets. A bucket may then still hold members that
 are like each other but not like the centre. For the members of such buckets an exact rest
-follows: those that share a rare shingle form buckets, which are treated in the same way
-with further centres, until no pair of components in any of them is open.
+follows: those that share a rare shingle are first paired with its best centre; then the
+few pairs of components that places and sizes leave possible are confirmed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import ascii_words, prepare, record
+from sluiceway.llm.common import Remembered, ascii_words, forgotten, prepare, record
 from sluiceway.llm.components import components
 from sluiceway.session import stored
 
@@ -29,10 +30,8 @@ BINS = 216
 # A pair just similar enough misses every band with at most this probability.
 MISS = 1e-7
 PROBES = 64
-# Members of a bucket that become centres in the second round; each later round takes so
-# many times as many.
-CENTRES = 32
-KEPT_WORDS = 400_000
+# What a Python worker keeps of hashed words.
+KEPT_BYTES = 32 << 20
 
 SIGNATURE = record(n=T.LongType(), digest=T.BinaryType(), bands=T.ArrayType(T.LongType()))
 
@@ -44,15 +43,9 @@ def rows_per_band(percent: int) -> int:
     return max(fits, default=1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 @cache
-def _hashes() -> _Hashes:
-    return _Hashes()
+def _hashes() -> Remembered:
+    return Remembered(xxhash.xxh3_64_intdigest, KEPT_BYTES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,10 +60,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = ascii_words(text)
     if not words:
         return np.empty(0, "uint64")
-    known = _hashes()
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    hashed = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
+    hashed = np.fromiter(map(_hashes().__getitem__, words), "uint64", len(words))
     size = min(size, len(words))
     count = len(words) - size + 1
     mixed = np.full(count, size, "uint64")
@@ -117,22 +107,26 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signer(size: int, rows: int):
+    def signed(text: str | None) -> tuple:
+        hashed = shingles(text, size)
+        bands = band_keys(signature(hashed), rows) if len(hashed) else []
+        return len(hashed), xxhash.xxh3_128_digest(hashed.tobytes()), bands
+
     @F.pandas_udf(SIGNATURE)
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            hashed = shingles(text, size)
-            bands = band_keys(signature(hashed), rows) if len(hashed) else []
-            out.append((len(hashed), xxhash.xxh3_128_digest(hashed.tobytes()), bands))
-        return pd.DataFrame(out, columns=["n", "digest", "bands"])
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with forgotten(_hashes()):
+            for texts in batches:
+                yield pd.DataFrame(list(map(signed, texts)), columns=["n", "digest", "bands"])
 
     return sign
 
 
 def _sets(size: int):
     @F.pandas_udf(T.BinaryType())
-    def whole(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: shingles(text, size).tobytes())
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with forgotten(_hashes()):
+            for texts in batches:
+                yield texts.map(lambda text: shingles(text, size).tobytes())
 
     return whole
 
@@ -175,33 +169,42 @@ class _Rounds:
         """Those of the pairs (a, b, na, nb) that are similar enough on whole sets."""
         a = self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
         b = self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        pairs = pairs.where(self.may_link("na", "nb")).distinct()
+        # Stored, so that the joins can be split where a centre has very many pairs.
+        pairs = stored(pairs.where(self.may_link("na", "nb")).distinct(), "pairs")
         measured = pairs.join(a, "a").join(b, "b").withColumn("common", _common("set_a", "set_b"))
         union = F.col("na") + F.col("nb") - F.col("common")
-        return measured.where(100 * F.col("common") >= self.percent * union).select("a", "b")
+        links = measured.where(100 * F.col("common") >= self.percent * union).select("a", "b")
+        return stored(links, "confirmed")
 
     def may_link(self, na: str, nb: str):
         """The smaller set must be large enough for the similarity to be possible at all."""
         return 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
 
+    def may_meet(self, na: str, nb: str, ra: str, rb: str):
+        """Sets that have nothing in common before the places ``ra`` and ``rb`` share at most
+        what is left from there on."""
+        left = F.least(F.col(na) - F.col(ra), F.col(nb) - F.col(rb)) + 1
+        return (100 + self.percent) * left >= self.percent * (F.col(na) + F.col(nb))
+
     def components(self) -> DataFrame:
         """``node`` and ``component`` of all classes that have links."""
         rows = self.classes.select(F.explode("bands").alias("key"), "node", "n")
-        heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size"))
-        heads = heads.where("size > 1").drop("size")
-        members = stored(rows.join(heads, "key").withColumn("served", F.col("node") == F.col("head")), "buckets")
-        sizes = self.classes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-        pairs = (
-            members.where("node <> head")
-            .select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
-            .distinct()
-            .join(sizes, "a")
+        heads = rows.groupBy("key").agg(
+            F.min("node").alias("head"), F.min_by("n", "node").alias("n_head"), F.count("*").alias("size")
         )
+        members = stored(rows.join(heads.where("size > 1").drop("size"), "key"), "buckets")
         self.keep_sets(members)
-        links = stored(self.confirm(pairs), "confirmed")
-        within = stored(components(links), "within")
+        pairs = members.where("node <> head").select(
+            F.col("head").alias("a"),
+            F.col("node").alias("b"),
+            F.col("n_head").alias("na"),
+            F.col("n").alias("nb"),
+        )
+        within = stored(components(self.confirm(pairs)), "within")
         apart = self._open(self._labelled(members, within)).select("node").distinct()
-        return self._rest(within, self._rare(stored(apart, "apart")))
+        prefixes = self._prefixes(stored(apart, "apart"))
+        within = self._joined(within, self.confirm(self._best_stars(prefixes, within)))
+        return self._joined(within, self.confirm(self._left(prefixes, within)))
 
     def _labelled(self, members: DataFrame, within: DataFrame) -> DataFrame:
         return members.join(within, "node", "left").withColumn(
@@ -209,40 +212,91 @@ class _Rounds:
         )
 
     def _open(self, labelled: DataFrame) -> DataFrame:
-        """The rows of buckets that hold more than one component and an unserved member."""
+        """The rows of keys that hold more than one component."""
         keys = labelled.groupBy("key").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count_if(~F.col("served")).alias("left"),
+            F.min("component").alias("low"), F.max("component").alias("high")
         )
-        return labelled.join(keys.where("low <> high AND left > 0").select("key"), "key")
+        return labelled.join(keys.where("low <> high").select("key"), "key")
 
-    def _rare(self, apart: DataFrame) -> DataFrame:
-        """Buckets of shared rare shingles: similar enough sets must share one of these.
+    def _prefixes(self, apart: DataFrame) -> DataFrame:
+        """The shared shingles among the rarest of each set: similar enough sets share one.
 
         In any common order of shingles, two such sets share one among the first
         ``n - ceil(similarity * n) + 1`` of each. The order is by number of holders, so that
-        copies that each differ in their own way do not meet.
+        copies that each differ in their own way do not meet; ``rank`` is the place of a
+        shingle in its set, those that no other set has included, and ``before`` the shared
+        one before it.
         """
         held = self.sets.join(apart, "node").select("node", _longs("set").alias("own"))
         held = held.select("node", F.size("own").alias("n"), F.explode("own").alias("key"))
         common = held.groupBy("key").count().where("count > 1")
         shared = held.join(common, "key")
         of_node = Window.partitionBy("node")
+        in_order = of_node.orderBy("count", "key")
         ranked = shared.select(
             "key",
             "node",
             F.col("n").cast("long").alias("n"),
-            F.count("*").over(of_node).alias("shared"),
-            F.row_number().over(of_node.orderBy("count", "key")).alias("rank"),
+            # Shingles that no other set has come before all shared ones.
+            (F.col("n") - F.count("*").over(of_node) + F.row_number().over(in_order)).alias("rank"),
+            F.lag("key").over(in_order).alias("before"),
         )
         first = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        # Shingles that no other set has come before all shared ones.
-        kept = ranked.where(F.col("rank") <= first - (F.col("n") - F.col("shared")))
-        return kept.select("key", "node", "n", F.lit(False).alias("served"))
+        return stored(ranked.where(F.col("rank") <= first), "prefixes")
+
+    def _best_stars(self, prefixes: DataFrame, within: DataFrame) -> DataFrame:
+        """Each member of a rare shingle with the centre that has the fewest rarer ones.
+
+        In a group of copies that is the one closest to what they were copied from.
+        """
+        members = stored(self._open(self._labelled(prefixes, within)), "open")
+        centres = members.groupBy("key").agg(F.min(F.struct("rank", "node", "n", "component")).alias("c"))
+        named = centres.select(
+            "key",
+            F.col("c.node").alias("centre"),
+            F.col("c.n").alias("n_centre"),
+            F.col("c.rank").alias("its_rank"),
+            F.col("c.component").alias("its"),
+        )
+        met = members.join(named, "key").where("its <> component")
+        return met.where(self.may_meet("n", "n_centre", "rank", "its_rank")).select(
+            F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n_centre").alias("na"), F.col("n").alias("nb")
+        )
+
+    def _left(self, prefixes: DataFrame, within: DataFrame) -> DataFrame:
+        """All pairs of components that rare shingles still leave open.
+
+        A row stays if the smallest set that has the shingle, or could be similar to the
+        row's, leaves the row a chance; then only shingles of several components stay. A
+        pair meets at the first shingle it shares, not again at the next one.
+        """
+        labelled = stored(self._open(self._labelled(prefixes, within)), "open")
+        least = labelled.groupBy("key").agg(F.min("n").alias("least"))
+        smallest = F.greatest("least", F.ceil(F.col("n") * self.percent / 100))
+        chance = (100 + self.percent) * (F.col("n") - F.col("rank") + 1) >= self.percent * (F.col("n") + smallest)
+        live = stored(labelled.join(least, "key").where(chance).drop("least"), "live")
+        live = stored(self._open(live), "live")
+        sides = [
+            live.select(
+                "key",
+                F.col("node").alias(x),
+                F.col("n").alias(f"n{x}"),
+                F.col("rank").alias(f"r{x}"),
+                F.col("component").alias(f"of_{x}"),
+                F.col("before").alias(f"before_{x}"),
+            )
+            for x in "ab"
+        ]
+        met = sides[0].join(sides[1], "key").where("a < b AND of_a <> of_b")
+        again = F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+        return met.where(
+            self.may_link("na", "nb") & self.may_meet("na", "nb", "ra", "rb") & ~again
+        ).select("a", "b", "na", "nb")
 
     def _joined(self, within: DataFrame, more: DataFrame) -> DataFrame:
         """The components after further links, which join the components of before."""
+        if more.isEmpty():
+            return within
         ends = more.select("a", "b")
         for end in ("a", "b"):
             label = within.withColumnRenamed("node", end).withColumnRenamed("component", f"of_{end}")
@@ -256,51 +310,6 @@ class _Rounds:
         after = known.join(moved, "component", "left")
         return stored(after.select("node", F.coalesce("now", "component").alias("component")), "within")
 
-    def _rest(self, within: DataFrame, members: DataFrame) -> DataFrame:
-        """Further centres for each bucket, until no pair of components in it is open."""
-        centres_at_once, tested = CENTRES, None
-        while True:
-            members = stored(self._open(self._labelled(members, within)), "open")
-            if members.isEmpty():
-                return within
-            slot = F.pmod(F.xxhash64("node"), F.lit(centres_at_once))
-            centres = (
-                members.where(~F.col("served"))
-                .groupBy("key", slot.alias("slot"))
-                .agg(F.min(F.struct("node", "n", "component")).alias("c"))
-                .select(
-                    "key",
-                    F.col("c.node").alias("centre"),
-                    F.col("c.n").alias("n_centre"),
-                    F.col("c.component").alias("its"),
-                )
-            )
-            small = F.col("centre") < F.col("node")
-            pairs = (
-                members.join(centres, "key")
-                .where("its <> component")
-                .select(
-                    F.least("centre", "node").alias("a"),
-                    F.greatest("centre", "node").alias("b"),
-                    F.when(small, F.col("n_centre")).otherwise(F.col("n")).alias("na"),
-                    F.when(small, F.col("n")).otherwise(F.col("n_centre")).alias("nb"),
-                )
-                .where(self.may_link("na", "nb"))
-                .distinct()
-            )
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
-            more = stored(self.confirm(pairs), "confirmed")
-            if not more.isEmpty():
-                within = self._joined(within, more)
-            now = centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("centre"))
-            members = members.join(now, ["key", "node"], "left").select(
-                "key", "node", "n", (F.col("served") | F.coalesce("centre", F.lit(False))).alias("served")
-            )
-            centres_at_once *= CENTRES
-
 
 def _resolve(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """For every row its key, text hash, set size, component id, and the row that stays."""
