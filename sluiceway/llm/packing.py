@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import prepare, record
+from sluiceway.llm.common import Remembered, forgotten, prepare, record
 from sluiceway.session import stored
 
 CAPACITY = 2048
@@ -32,8 +32,8 @@ TOKENIZER = "byte_bpe_50k.json"
 PART_PIECES = 10_000
 # A sequence is loosely filled if more than this share of it is free.
 LOOSE = 1 / 16
-# Encoded words a Python worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 800_000
+# What a Python worker keeps of encoded words.
+KEPT_BYTES = 128 << 20
 DIVISORS = 24
 
 CUT = record(
@@ -65,7 +65,7 @@ class Encoder:
     _between = re.compile(r"(?<=\S)(?= \S)")
     _latin = re.compile(r"[\x00-\u024F]*").fullmatch
 
-    def __init__(self, name: str, kept: int = KEPT_WORDS):
+    def __init__(self, name: str, kept: int = KEPT_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,8 +74,8 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [token.content for token in added]
         self.fast = _ranked(path)
-        self.kept = kept
-        self.first, self.later = _Known(self._ids, ""), _Known(self._ids, " ")
+        self.first = Remembered(self._word, kept // 8)
+        self.later = Remembered(lambda word: self._word(word, " "), kept)
 
     def _ids(self, text: str) -> bytes:
         if self.fast and self._latin(text):
@@ -84,12 +84,14 @@ class Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def _word(self, word: str, before: str = "") -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _SpacesTouch
+        return self._ids(before + word)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.later) > self.kept:
-            self.first.clear()
-            self.later.clear()
         if any(token in text for token in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
@@ -104,18 +106,6 @@ class _SpacesTouch(Exception):
     """A space is beside other white space or at an end: the plain split does not hold."""
 
 
-class _Known(dict):
-    def __init__(self, ids: Callable[[str], bytes], before: str):
-        super().__init__()
-        self.ids, self.before = ids, before
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _SpacesTouch
-        found = self[word] = self.ids(self.before + word)
-        return found
-
-
 def _ranked(path: str) -> Callable[[str], list[int]] | None:
     """The same vocabulary in its ranked form, if that lies beside it."""
     ranked = os.path.splitext(path)[0] + ".tiktoken"
@@ -154,10 +144,12 @@ def _cutter(tokenizer: str, capacity: int, end: int) -> Callable:
     last = np.array([end], "<u4").tobytes()
 
     @F.pandas_udf(CUT)
-    def pieces(texts: pd.Series) -> pd.DataFrame:
-        encode = encoder(tokenizer).encode
-        rows = [cut(encode(text) + last, capacity) for text in texts]
-        return pd.DataFrame(rows, columns=["starts", "lengths", "crcs"])
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(tokenizer)
+        with forgotten(own.first, own.later):
+            for texts in batches:
+                rows = [cut(own.encode(text) + last, capacity) for text in texts]
+                yield pd.DataFrame(rows, columns=["starts", "lengths", "crcs"])
 
     return pieces
 
