@@ -3,10 +3,10 @@
 All of it is DataFrame functions. A token in an inferred encoding is tested against the
 hypothesis that its characters are uniform and independent: a chi-squared test of the
 alphabet's uniformity, a runs test about the alphabet's middle and a lag-one serial
-correlation. Fisher's method combines the three. Per encoding and band of lengths, the
-Benjamini-Hochberg rule at level ``FDR`` rejects tokens as not random, so that long tokens,
-which the tests can tell apart well, do not decide for short ones. What is not rejected and
-holds enough bits is a secret.
+correlation. Fisher's method combines the three. Per encoding and band of lengths, so that
+long tokens, which the tests can tell apart well, do not decide for short ones, tokens are
+reported down to the p-value at which the estimated share of false alarms among them is
+still at most ``FDR``. What is reported and holds enough bits is a secret.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ LEAST_BITS = 80
 BANDS = (24, 32, 48)
 # p-values are counted in bins of equal ratio; the last holds all below 10 ** -7.
 BINS_PER_DECADE, LAST_BIN = 20, 140
+# Above one half, where nearly all are of random tokens.
+RANDOM_BINS = 6
+# Elements of an array over which a running sum is taken at once.
+CHUNK = 128
 
 
 @dataclass(frozen=True)
@@ -67,19 +71,58 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of whole numbers of zero or more; of an array that is not empty.
+
+    Inside chunks first, and then over chunks, so that long arrays take little more than
+    their length.
+    """
+
+    def last(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), of)
+
+    def inside(part: Column, before: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(part)),
+            lambda i: of(before, last(F.slice(part, F.lit(1), i))),
+        )
+
+    def over(chunks: Column) -> Column:
+        return _let(
+            F.transform(chunks, last),
+            lambda totals: F.flatten(
+                F.zip_with(
+                    chunks,
+                    F.transform(
+                        F.sequence(F.lit(0), F.size(totals) - 1),
+                        lambda k: last(F.slice(totals, F.lit(1), k)),
+                    ),
+                    inside,
+                )
+            ),
+        )
+
+    def chunked(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(own) - 1, F.lit(CHUNK))
+        return F.transform(starts, lambda at: F.slice(own, at + 1, F.lit(CHUNK)))
+
+    return _let(values, lambda own: _let(chunked(own), over))
+
+
 def _placed(text: Column, hits: Column, pattern: str) -> Column:
     """Spans in code points of a pattern's hits, from the lengths of what lies between."""
     gaps = F.split(text, pattern, -1)
     sizes = F.zip_with(
         F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit)
     )
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size(hits)),
-        lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda total, n: total + n),
-    )
     placed = F.zip_with(
         hits,
-        ends,
+        _running(sizes, lambda total, n: total + n),
         lambda hit, end: F.struct(
             (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")
         ),
@@ -87,6 +130,44 @@ def _placed(text: Column, hits: Column, pattern: str) -> Column:
     return F.when(F.size(hits) > 0, placed).otherwise(F.from_json(F.lit("[]"), HIT))
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span.
+
+    In order of the tokens' ends and the spans' starts, a token overlaps one of the spans
+    before it if the furthest of them reaches beyond the token's start.
+    """
+    ends = F.transform(
+        tokens,
+        lambda c: F.struct(
+            c["end"].alias("place"), F.lit(0).alias("reach"), c["start"], c["hit"].alias("hit")
+        ),
+    )
+    starts = F.transform(
+        base,
+        lambda c: F.struct(
+            c["start"].alias("place"),
+            c["end"].alias("reach"),
+            c["start"],
+            F.lit(None).cast("string").alias("hit"),
+        ),
+    )
+
+    def free(places: Column) -> Column:
+        furthest = _running(F.transform(places, lambda c: c["reach"]), lambda a, b: F.greatest(a, b))
+        seen = F.zip_with(places, furthest, lambda c, reach: F.struct(c.alias("c"), reach.alias("reach")))
+        kept = F.filter(seen, lambda s: s["c"]["hit"].isNotNull() & (s["reach"] <= s["c"]["start"]))
+        return F.transform(
+            kept,
+            lambda s: F.struct(
+                s["c"]["start"].alias("start"), s["c"]["place"].alias("end"), s["c"]["hit"].alias("hit")
+            ),
+        )
+
+    # Nothing that starts where a token ends overlaps it: tokens come first, with reach 0.
+    sorted_places = F.array_sort(F.concat(ends, starts))
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), _let(sorted_places, free)).otherwise(tokens)
+
+
 def _upper_tail(z: Column) -> Column:
     """The standard normal's upper tail at z >= 0, to 1e-7."""
     # Fixed values of Abramowitz and Stegun 26.2.17.
@@ -196,12 +277,7 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
         F.concat(*[F.transform(placed[k], _as_kind(at)) for at, k in enumerate(KINDS[:-1])])
     )
     rows = hits.withColumns({_BASE: base, _TOKENS: placed["token"]})
-    apart = F.filter(
-        F.col(_TOKENS),
-        lambda c: ~F.exists(
-            F.col(_BASE), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-        ),
-    )
+    apart = _apart(F.col(_TOKENS), F.col(_BASE))
     rows = rows.withColumn(_TOKENS, F.filter(F.transform(apart, _encoded), lambda c: c["e"] > 0))
     for step in (_coded, _counted, _judged):
         rows = rows.withColumn(_TOKENS, F.transform(_TOKENS, step))
@@ -209,23 +285,28 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
 
 
 def rejections(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """For each stratum the least bin of p-values that is rejected as not random.
+    """For each stratum the least bin of p-values that is not reported.
 
-    Benjamini-Hochberg over all tokens of all texts, on counts per stratum and bin: at most
-    strata times bins rows, whatever the input. A bin counts at its upper edge.
+    p-values of random tokens are uniform and those of others lie near zero. So the tokens
+    above one half, and one more for chance, tell how many random ones a stratum has, and how
+    many of those reported down to some p-value are none of them. The furthest bin is
+    taken at which that is at most the share ``FDR``. The counts are over all texts, at most
+    strata times bins rows, whatever the input.
     """
     tokens = scan(docs.select(F.col(text).alias("text")), "text").select(F.explode(_TOKENS).alias("t"))
     counts = tokens.groupBy("t.stratum", "t.bin").count()
     here = Window.partitionBy("stratum")
+    upper = F.sum(F.when(F.col("bin") < RANDOM_BINS, F.col("count")).otherwise(0)).over(here)
     ranked = counts.select(
         "stratum",
         "bin",
-        F.sum("count").over(here).alias("all"),
-        F.sum("count").over(here.orderBy(F.desc("bin"))).alias("rank"),
+        ((upper + 1) / (1 - 10 ** (-RANDOM_BINS / BINS_PER_DECADE))).alias("random"),
+        F.sum("count").over(here.orderBy("bin")).alias("reported"),
     )
-    edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
-    passed = ranked.where(edge <= FDR * F.col("rank") / F.col("all"))
-    return {r["stratum"]: r["bin"] for r in passed.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+    edge = F.pow(F.lit(10.0), -(F.col("bin") + 1) / BINS_PER_DECADE)
+    false_share = 1 - F.col("random") * (1 - edge) / F.col("reported")
+    ends = ranked.groupBy("stratum").agg(F.max(F.when(false_share <= FDR, F.col("bin"))).alias("last"))
+    return {r["stratum"]: -1 if r["last"] is None else r["last"] + 1 for r in ends.collect()}
 
 
 def find_secrets(
