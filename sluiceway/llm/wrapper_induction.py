@@ -5,8 +5,10 @@ skeletons of a host are aligned by simple tree matching into one template; whate
 has at a template node is that node's texts there. A text that all pages with the node have
 there belongs to the template, and so does one that most pages have in some sibling of a
 repeated label, wherever it stands among them. Nodes with other texts are slots. Content is what fills the slots
-of the article, outside elements whose tag or role says menu, advert and the like. Words of
-class and id are evidence only: they count against a text by how little else the page has.
+of the article, outside elements whose tag or role says menu, advert and the like. A form, or an
+element that is never closed, is no such element if the article or most of the page lies in
+it. Words of class and id are evidence only: they count against a text by how little else the
+page has.
 """
 
 from __future__ import annotations
@@ -76,11 +78,14 @@ FRAME = frozenset("html body main article".split())
 # this share of both or more: by a word inside a longer name, and by a name that is the word.
 BY_PART, BY_NAME = 1, 2
 LEAST_SHARE = {BY_PART: 0.1, BY_NAME: 0.01}
+# A form or unclosed element with more than the one share of the page's characters is a frame, if
+# less than the other share lies outside elements that are never main text.
+FRAME_SHARE, FREE_SHARE = 0.5, 0.1
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("article", "main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?:>|\Z)|[^>]*(?:>|\Z))",
     re.S,
 )
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -90,10 +95,15 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """An element of a skeleton or template: label, whether it can be content, children."""
 
-    __slots__ = ("against", "children", "into", "label", "main", "number", "other", "parent", "repeated")
+    __slots__ = (
+        "against", "children", "closed", "into", "is_form", "is_main", "is_other", "label",
+        "main", "number", "other", "parent", "repeated",
+    )
 
     def __init__(self, label: str, other: bool = False, main: bool = False, parent: Node | None = None):
         self.label, self.other, self.main, self.parent = label, other, main, parent
+        # What the element itself says; other and main hold for all it contains.
+        self.is_other, self.is_main, self.is_form, self.closed = other, main, False, False
         self.children: list[Node] = []
         self.number = 0
         self.repeated = False  # several siblings were folded into it
@@ -102,6 +112,7 @@ class Node:
 
     def add(self, label: str, other: bool, main: bool) -> Node:
         child = Node(label, self.other or other, self.main or main, self)
+        child.is_other, child.is_main = other, main
         self.children.append(child)
         return child
 
@@ -188,6 +199,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] in names:
                 flush()
+                stack[at][1].closed = True
                 del stack[at:]
                 return
             if stack[at][0] in within:
@@ -214,7 +226,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
                 while stack[-1][0] != name:
                     stack.pop()
-                stack.pop()
+                stack.pop()[1].closed = True
             continue
         if name in RAW:
             lower = page.lower() if lower is None else lower
@@ -230,7 +242,9 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         names = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if attributes else {}
         words = set(_WORD.findall(f"{names.get('class', '')} {names.get('id', '')}")) if names else ()
-        other = name in OTHER_TAGS or names.get("role") in OTHER_ROLES
+        # What heads an article is its title; what heads a page is not.
+        heads = name == "header" and any(tag == "article" for tag, _ in stack)
+        other = (name in OTHER_TAGS and not heads) or names.get("role") in OTHER_ROLES
         main = name in MAIN_TAGS or names.get("role") in MAIN_ROLES
         against = 0
         if not (main or name in FRAME or OTHER_WORDS.isdisjoint(words)):
@@ -251,16 +265,64 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         inside = stack[-1][1]
         if len(stack) <= DEEPEST or (other and not inside.other) or against > inside.against:
             inside = inside.add(label, other, main)
-            inside.against = against
+            inside.against, inside.is_form = against, name == "form"
         around = inside if main else None
         while around is not None:
             around.against, around = 0, around.parent
         stack.append((name, inside))
     flush()
+    unframe(root, blocks)
     inherit(root)
     return root, blocks
 
 
+def unframe(root: Node, blocks: list[tuple[Node, str]]) -> None:
+    """Let forms and unclosed elements that hold the article or most of the page be content.
+
+    A page with an article or main element outside all others stays as it is. Where every one
+    of them is inside, the elements around them are frames: forms and unclosed ones, and any
+    element if there is no text beside. Without one, the share of characters decides.
+    """
+    total = sum(len(text) for _, text in blocks)
+    while True:
+        nodes = list(numbered(root))
+        mains = [node for node in nodes if node.is_main]
+        if any(not node.other for node in mains):
+            return
+        free = sum(len(text) for node, text in blocks if not node.other)
+        held: Counter[int] = Counter()
+        for node, text in blocks:
+            for around in _around(node):
+                held[around.number] += len(text)
+        inside = {around.number for node in mains for around in _around(node)}
+        frames = [
+            node
+            for node in nodes
+            if node.is_other
+            and (
+                node.number in inside and (not free or node.is_form or not node.closed)
+                or not mains
+                and (node.is_form or not node.closed)
+                and not (node.parent and node.parent.other)
+                and held[node.number] > FRAME_SHARE * total
+                and free < FREE_SHARE * total
+            )
+        ]
+        if not frames:
+            return
+        for node in frames:
+            node.is_other = False
+        for node in nodes:
+            node.other = node.is_other or (node.parent is not None and node.parent.other)
+
+
+def _around(node: Node | None) -> Iterator[Node]:
+    """The node and all it lies in."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def inherit(root: Node) -> None:
     """What is said against an element holds for all it contains, but not for an article."""
     for node in numbered(root):
