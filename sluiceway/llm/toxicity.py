@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from sluiceway.llm.common import held_out, prepare, record
 from sluiceway.llm.logistic import fit_logistic, sample_of
 from sluiceway.session import stored
-from sluiceway.llm.logistic import fit_logistic, sample_of
 
 FOLDS, TEST_FOLD = 5, 0
 # At most about so many labelled rows, chosen by a hash of their id, fit the weights.
@@ -61,8 +60,7 @@ dit disait appelle écrit selon dijo dice llamó escribió según
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 PLAIN, NEGATED, REPORTED = range(3)
-_CLAUSE_MARKS = ".!?;:\n\r…|"
-_CLAUSE_END = re.compile(f"[{_CLAUSE_MARKS}]")
+_CLAUSE_END = re.compile("[.!?;:\n\r…|]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -179,17 +177,23 @@ class Lexicon:
 
 
 def clauses(text: str | None, lexicon: Lexicon) -> list[tuple[int, list[str]]]:
-    """Pattern and trigger words of each matched clause of a text."""
+    """Pattern and trigger words of each matched clause of a text.
+
+    Clause marks and triggers are met in one pass forward: no mark lies inside a trigger, so
+    the last mark passed begins the trigger's clause and the next one ends it.
+    """
     text = (text or "").lower()
     found, done = [], -1
+    marks = _CLAUSE_END.finditer(text)
+    begin, mark = 0, next(marks, None)
     for end, (word, whole) in lexicon.triggers().iter(text):
         start = end - len(word) + 1
         inside = start > 0 and text[start - 1].isalnum()
         if start < done or inside or (whole and text[end + 1 : end + 2].isalnum()):
             continue
-        stop = _CLAUSE_END.search(text, end)
-        done = stop.start() if stop else len(text)
-        begin = 1 + max(text.rfind(mark, 0, start) for mark in _CLAUSE_MARKS)
+        while mark and mark.start() < start:
+            begin, mark = mark.end(), next(marks, None)
+        done = mark.start() if mark else len(text)
         match = _matched(_WORD.findall(text, begin, done), lexicon)
         if match:
             found.append(match)
