@@ -10,9 +10,9 @@ the arcs taken add up.
 The automaton is as large as the corpus, so no task holds it. Documents are dealt into
 blocks of bounded size. Each block sends the distinct words and pairs it needs, with their
 training counts, to the bucket of their hash; a bucket adds up the counts of all blocks and
-answers each block in the block's own order. With the answers a block has the counts of the
-part of the automaton that its documents can reach. States have a depth of one, the last word
-alone, so no arcs are built and no state is carried along: all steps are weighed as arrays.
+answers each block in the block's own order. From the answers a block builds the states, arcs
+and failure arcs that its documents can reach, and walks every document through them, carrying
+the state. States have a depth of one, the last word.
 
 How much of a state's probability its own arcs get is learned from the training tokens, each
 left out of the counts in turn, for states of like counts (:func:`learned_shares`).
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import ascii_words, held_out, prepare, record
+from sluiceway.llm.common import Remembered, ascii_words, forgotten, held_out, prepare, record
 from sluiceway.session import stored
 
 FOLDS, TEST_FOLD = 7, 2
 BLOCK_BYTES = 8 << 20
-KEPT_WORDS = 400_000
+# Words whose hashes a task keeps while it reads a block.
+KEPT_BYTES = 64 << 20
 # Share of a state's probability that its own arcs get if none are learned, by the doublings of
 # its count; the failure arc has the rest. The last holds for all larger counts.
 OWN_SHARE = (
@@ -63,19 +65,16 @@ ANSWERED = record(
 )
 
 
-class _Keys(dict):
-    """64-bit hashes of words; two words share one with a probability of 2 ** -62."""
-
-    def __missing__(self, word) -> int:
-        seed = 1 if word == _END else 0
-        raw = word if isinstance(word, bytes) else word.encode()
-        found = self[word] = xxhash.xxh3_64_intdigest(raw, seed) & _MASK | WORD
-        return found
+def _key(word: bytes | str) -> int:
+    """64-bit hash of a word; two words share one with a probability of 2 ** -62."""
+    seed = 1 if word == _END else 0
+    raw = word if isinstance(word, bytes) else word.encode()
+    return xxhash.xxh3_64_intdigest(raw, seed) & _MASK | WORD
 
 
 @cache
-def _keys() -> _Keys:
-    return _Keys()
+def _keys() -> Remembered:
+    return Remembered(_key, KEPT_BYTES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,15 +85,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word keys, pair keys, and each document's number of tokens, over all documents."""
-    known = _keys()
-    if len(known) > KEPT_WORDS:
-        known.clear()
     parts, sizes = [], []
-    for text in texts:
-        words = ascii_words(text)
-        parts.append(np.fromiter(map(known.__getitem__, words), "uint64", len(words)))
-        parts.append(np.array([known[_END]], "uint64"))
-        sizes.append(len(words) + 1)
+    end = np.array([_key(_END)], "uint64")
+    with forgotten(_keys()):
+        known = _keys()
+        for text in texts:
+            words = ascii_words(text)
+            parts.append(np.fromiter(map(known.__getitem__, words), "uint64", len(words)))
+            parts.append(end)
+            sizes.append(len(words) + 1)
     tokens = np.concatenate(parts) if parts else np.empty(0, "uint64")
     counts = np.array(sizes, "int64")
     before = np.roll(tokens, 1)
@@ -178,12 +177,24 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+class Seen(NamedTuple):
+    """Distinct keys of a block with their training counts, and where its tokens are in them."""
+
+    keys: np.ndarray
+    totals: np.ndarray
+    sizes: np.ndarray  # tokens of each document
+    begin: int
+    words: np.ndarray  # by token: its word, its pair with the word before, and that word
+    pairs: np.ndarray
+    contexts: np.ndarray
+
+
 def _doublings(count: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(count, 1))[1] - 1
 
 
-class Automaton:
-    """The part of the backoff automaton that a block can reach, from its counts."""
+class Smoothing:
+    """The log-probabilities that arcs get from training counts."""
 
     def __init__(self, words: int, tokens: int, shares: Sequence[float] = OWN_SHARE):
         self.all = tokens + words + 1
@@ -197,31 +208,68 @@ class Automaton:
         share = self.shares[np.minimum(_doublings(state_count), len(self.shares) - 1)]
         return np.where(state_count > 0, share, 0.0)
 
-    def weights(self, word: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """What each step adds, from the counts of its word, its state, and both.
+    def failure_weights(self, state_count: np.ndarray) -> np.ndarray:
+        """What the root's arcs cost more in a state; nothing in one without arcs of its own."""
+        return np.log10(1 - self.own_share(state_count))
 
-        A state is the last word alone, so all steps of a block can be weighed at once.
-        """
-        root = self.root_weights(word)
+    def arc_weights(self, word: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of arcs seen in training, from the counts of word, state and both."""
         share = self.own_share(state)
-        failure = np.log10(1 - share) + root
-        own = share * pair / np.maximum(state, 1)
-        return np.where(pair > 0, np.log10(own + (1 - share) * 10.0**root), failure)
+        root = (word + 1) / self.all
+        return np.log10(share * pair / np.maximum(state, 1) + (1 - share) * root)
 
 
-def _counts(rows: pd.DataFrame, answers: pd.DataFrame):
-    """Each document's number of tokens, and each token's counts: word, state and pair."""
+class Automaton:
+    """The states and arcs that a block of documents can reach, numbered inside the block.
+
+    A state is the begin or a word that training has; ``root`` is one more. From any state an
+    arc is looked up by state and word. Where there is none, the failure arc leads to the root,
+    which has an arc for every word of the block: to the word's state, or back to the root.
+    """
+
+    def __init__(self, smoothing: Smoothing, seen: Seen):
+        count, is_pair = seen.totals, (seen.keys & np.uint64(3)) == PAIR
+        number = np.cumsum(~is_pair) - 1  # of words and the begin among themselves
+        of_words = count[~is_pair]
+        self.root = len(of_words)
+        self.begin = int(number[seen.begin]) if count[seen.begin] else self.root
+        self.words = number[seen.words]
+        # Where each pair of words comes from and by which word it leaves.
+        source, label = np.zeros(len(count), "int64"), np.zeros(len(count), "int64")
+        source[seen.pairs], label[seen.pairs] = number[seen.contexts], self.words
+        arcs = np.flatnonzero(is_pair & (count > 0))
+        source, label = source[arcs], label[arcs]
+        weights = smoothing.arc_weights(of_words[label], of_words[source], count[arcs])
+        self.arcs = dict(zip((source * self.root + label).tolist(), weights.tolist(), strict=True))
+        self.failure = [*smoothing.failure_weights(of_words).tolist(), 0.0]
+        self.root_arcs = smoothing.root_weights(of_words).tolist()
+        self.target = np.where(of_words > 0, np.arange(self.root), self.root).tolist()
+
+    def walk(self, words: list[int]) -> float:
+        """The weight of a document's path, read once from left to right."""
+        arcs, failure, root_arcs, target, width = self.arcs, self.failure, self.root_arcs, self.target, self.root
+        state, total = self.begin, 0.0
+        for word in words:
+            weight = arcs.get(state * width + word)
+            if weight is None:
+                weight = failure[state] + root_arcs[word]
+            total += weight
+            state = target[word]
+        return total
+
+
+def _seen(rows: pd.DataFrame, answers: pd.DataFrame) -> Seen:
+    """A block's documents as places among its distinct keys, and the keys' counts."""
     tokens, pairs, sizes = _read(rows["text"].tolist())
     keys, place = _needed(tokens, pairs)
     blobs = answers.sort_values("bucket")["counts"]
     totals = np.concatenate([_grow(blob) for blob in blobs]).astype("float64")
     if len(totals) != len(keys):
         raise RuntimeError("a block has changed since it asked for its counts")
-    counts = totals[place]
-    word, pair = counts[1 : 1 + len(tokens)], counts[1 + len(tokens) :]
-    state = np.roll(word, 1)
-    state[np.cumsum(sizes) - sizes] = counts[0]
-    return sizes, word, state, pair
+    words = place[1 : 1 + len(tokens)]
+    contexts = np.roll(words, 1)
+    contexts[np.cumsum(sizes) - sizes] = place[0]
+    return Seen(keys, totals, sizes, int(place[0]), words, place[1 + len(tokens) :], contexts)
 
 
 EVIDENCE = record(doubling=T.IntegerType(), tried=T.IntegerType(), fit=T.DoubleType())
@@ -234,9 +282,10 @@ def _witness(tokens_in_all: int, words: int):
     def witness(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and rows["train"].any():
-            sizes, word, state, pair = _counts(rows, answers)
+            seen = _seen(rows, answers)
+            word, state, pair = (seen.totals[at] for at in (seen.words, seen.contexts, seen.pairs))
             # A state seen once has no arc left without its only token.
-            use = np.repeat(rows["train"].to_numpy("bool"), sizes) & (state > 1)
+            use = np.repeat(rows["train"].to_numpy("bool"), seen.sizes) & (state > 1)
             own = (pair[use] - 1) / (state[use] - 1)
             root = word[use] / all_but_one
             doubling = _doublings(state[use] - 1)
@@ -270,24 +319,30 @@ def learned_shares(fits: dict[tuple[int, int], float]) -> list[float]:
 
 
 def _scorer(words: int, tokens_in_all: int, key_type: T.DataType, shares: Sequence[float]):
-    automaton = Automaton(words, tokens_in_all, shares)
+    smoothing = Smoothing(words, tokens_in_all, shares)
 
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[f.name for f in schema])
-        sizes, word, state, pair = _counts(rows, answers)
-        begins = np.cumsum(sizes) - sizes
-        steps = automaton.weights(word, state, pair)
-        base = automaton.root_weights(word)
+        seen = _seen(rows, answers)
+        begins = np.cumsum(seen.sizes) - seen.sizes
+        count = seen.totals[seen.words]
+        base = smoothing.root_weights(count)
+        automaton = Automaton(smoothing, seen)
+        ends = (begins + seen.sizes).tolist()
+        scores = [
+            automaton.walk(automaton.words[at:end].tolist())
+            for at, end in zip(begins.tolist(), ends, strict=True)
+        ]
         return pd.DataFrame(
             {
                 "doc_id": rows["key"].to_numpy(),
                 "held_out": ~rows["train"].to_numpy(),
-                "n_tokens": sizes,
-                "n_known": np.add.reduceat((word > 0).astype("int64"), begins),
+                "n_tokens": seen.sizes,
+                "n_known": np.add.reduceat((count > 0).astype("int64"), begins),
                 "train_tokens": tokens_in_all,
                 "base_score": np.add.reduceat(base, begins),
-                "score": np.add.reduceat(steps, begins),
+                "score": scores,
             }
         )
 
