@@ -143,29 +143,36 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH turns AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
-    replace(coalesce(text, ''), '<|', '< |') AS text,
-    CAST(coalesce(floor(turn / 64), -1) AS BIGINT) AS segment
+WITH named AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM named
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), openings AS (
+  SELECT conv_id, min(place) // 64 AS said,
+    '<|system|>' || chr(10) || arg_min(text, place) || '<|end|>' || chr(10) AS opening
+  FROM turns WHERE role = 'system' GROUP BY conv_id
 ), written AS (
-  SELECT conv_id, speaker, segment, turn, role, text, role = speaker AS own,
+  SELECT conv_id, speaker, CAST(place // 64 AS BIGINT) AS segment, place, role = speaker AS own,
+    CASE WHEN said < place // 64 THEN opening ELSE '' END AS opening,
     CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
       ELSE '<|user name=' || regexp_replace(role, '[^A-Za-z0-9_.-]', '_', 'g') || '|>' END
       || chr(10) AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM turns JOIN speakers USING (conv_id)
+  FROM turns JOIN speakers USING (conv_id) LEFT JOIN openings USING (conv_id)
 ), placed AS (
-  SELECT *, CAST(sum(length(head) + length(body)) OVER (
-    PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, role, text
-    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  SELECT *, CAST(length(opening) + sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, speaker, segment ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM written
 )
 SELECT conv_id, speaker, segment, count(*) AS n_turns,
-  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop)
+  min(opening) || string_agg(head || body, '' ORDER BY place) AS text,
+  coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY place)
     FILTER (WHERE own), '') AS mask,
   CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
 FROM placed GROUP BY conv_id, speaker, segment
