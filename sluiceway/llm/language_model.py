@@ -21,7 +21,6 @@ left out of the counts in turn, for states of like counts (:func:`learned_shares
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import Remembered, ascii_words, forgotten, held_out, prepare, record
+from sluiceway.llm.common import ascii_words, held_out, prepare, record
 from sluiceway.session import stored
 
 FOLDS, TEST_FOLD = 7, 2
 BLOCK_BYTES = 8 << 20
-# Words whose hashes a task keeps while it reads a block.
-KEPT_BYTES = 64 << 20
 # Share of a state's probability that its own arcs get if none are learned, by the doublings of
 # its count; the failure arc has the rest. The last holds for all larger counts.
 OWN_SHARE = (
@@ -51,7 +48,6 @@ DOUBLINGS = 48
 BEGIN, WORD, PAIR = 0, 1, 2
 _MASK = (1 << 64) - 4
 _BEGIN_KEY = np.uint64(0)
-_END = "end"
 
 ASKED = record(
     bucket=T.LongType(), block=T.LongType(), keys=T.BinaryType(), counts=T.BinaryType()
@@ -65,16 +61,25 @@ ANSWERED = record(
 )
 
 
-def _key(word: bytes | str) -> int:
+def _key(word: bytes, seed: int = 0) -> int:
     """64-bit hash of a word; two words share one with a probability of 2 ** -62."""
-    seed = 1 if word == _END else 0
-    raw = word if isinstance(word, bytes) else word.encode()
-    return xxhash.xxh3_64_intdigest(raw, seed) & _MASK | WORD
+    return xxhash.xxh3_64_intdigest(word, seed) & _MASK | WORD
 
 
-@cache
-def _keys() -> Remembered:
-    return Remembered(_key, KEPT_BYTES)
+_END_KEY = _key(b"end", 1)
+
+
+class _Numbers(dict):
+    """Numbers of the different words met, as they come; 0 is the end of a document."""
+
+    def __init__(self):
+        super().__init__()
+        self.keys_of = [_END_KEY]
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.keys_of)
+        self.keys_of.append(_key(word))
+        return found
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,23 +88,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys, pair keys, and each document's number of tokens, over all documents."""
-    parts, sizes = [], []
-    end = np.array([_key(_END)], "uint64")
-    with forgotten(_keys()):
-        known = _keys()
-        for text in texts:
-            words = ascii_words(text)
-            parts.append(np.fromiter(map(known.__getitem__, words), "uint64", len(words)))
-            parts.append(end)
-            sizes.append(len(words) + 1)
-    tokens = np.concatenate(parts) if parts else np.empty(0, "uint64")
+class Tokens(NamedTuple):
+    """A block's distinct keys in order, and where its tokens are among them."""
+
+    keys: np.ndarray
+    sizes: np.ndarray  # tokens of each document
+    begin: int
+    words: np.ndarray  # by token: its word, its pair with the word before, and that word
+    pairs: np.ndarray
+    contexts: np.ndarray
+
+
+def _read(texts: list[str | None]) -> Tokens:
+    numbers, parts, sizes = _Numbers(), [], []
+    for text in texts:
+        words = ascii_words(text)
+        part = np.zeros(len(words) + 1, "int64")
+        part[:-1] = np.fromiter(map(numbers.__getitem__, words), "int64", len(words))
+        parts.append(part)
+        sizes.append(len(words) + 1)
+    number = np.concatenate(parts) if parts else np.empty(0, "int64")
     counts = np.array(sizes, "int64")
+    begins = np.cumsum(counts) - counts
+    key_of = np.array(numbers.keys_of, "uint64")
+    tokens = key_of[number]
     before = np.roll(tokens, 1)
-    before[(np.cumsum(counts) - counts)[: len(counts)]] = _BEGIN_KEY
+    before[begins] = _BEGIN_KEY
     pairs = _mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
-    return tokens, pairs & np.uint64(_MASK) | np.uint64(PAIR), counts
+    pairs, of_token = np.unique(pairs & np.uint64(_MASK) | np.uint64(PAIR), return_inverse=True)
+    # The begin is the least of all keys; words and pairs lie among each other.
+    words, of_number = np.unique(key_of, return_inverse=True)
+    keys = np.sort(np.concatenate([np.array([_BEGIN_KEY]), words, pairs]), kind="stable")
+    word_at = 1 + np.arange(len(words)) + np.searchsorted(pairs, words)
+    pair_at = 1 + np.arange(len(pairs)) + np.searchsorted(words, pairs)
+    at = word_at[of_number][number]
+    contexts = np.roll(at, 1)
+    contexts[begins] = 0
+    return Tokens(keys, counts, 0, at, pair_at[of_token], contexts)
 
 
 def _shrink(values: np.ndarray) -> bytes:
@@ -123,20 +148,14 @@ def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, "uint64")), len(keys))
 
 
-def _needed(tokens: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys of a block, and where its words and pairs are in them."""
-    return np.unique(
-        np.concatenate([np.array([_BEGIN_KEY]), tokens, pairs]), return_inverse=True
-    )
-
-
 def _asker(buckets: int):
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, pairs, counts = _read(rows["text"].tolist())
-        keys, place = _needed(tokens, pairs)
-        learn = np.repeat(rows["train"].to_numpy("int64"), counts)
-        train = np.concatenate([[int(rows["train"].sum())], learn, learn])
-        times = np.bincount(place, weights=train, minlength=len(keys)).astype("uint64")
+        read = _read(rows["text"].tolist())
+        keys, trains = read.keys, rows["train"].to_numpy("bool")
+        learn = np.repeat(trains, read.sizes)
+        times = np.bincount(read.words[learn], minlength=len(keys))
+        times += np.bincount(read.pairs[learn], minlength=len(keys))
+        times[read.begin] += trains.sum()
         at = _split(keys, buckets)
         block, out = int(rows["block"].iloc[0]), []
         for bucket in np.flatnonzero(at[1:] > at[:-1]).tolist():
@@ -177,18 +196,6 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-class Seen(NamedTuple):
-    """Distinct keys of a block with their training counts, and where its tokens are in them."""
-
-    keys: np.ndarray
-    totals: np.ndarray
-    sizes: np.ndarray  # tokens of each document
-    begin: int
-    words: np.ndarray  # by token: its word, its pair with the word before, and that word
-    pairs: np.ndarray
-    contexts: np.ndarray
-
-
 def _doublings(count: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(count, 1))[1] - 1
 
@@ -227,8 +234,8 @@ class Automaton:
     which has an arc for every word of the block: to the word's state, or back to the root.
     """
 
-    def __init__(self, smoothing: Smoothing, seen: Seen):
-        count, is_pair = seen.totals, (seen.keys & np.uint64(3)) == PAIR
+    def __init__(self, smoothing: Smoothing, seen: Tokens, count: np.ndarray):
+        is_pair = (seen.keys & np.uint64(3)) == PAIR
         number = np.cumsum(~is_pair) - 1  # of words and the begin among themselves
         of_words = count[~is_pair]
         self.root = len(of_words)
@@ -237,7 +244,11 @@ class Automaton:
         # Where each pair of words comes from and by which word it leaves.
         source, label = np.zeros(len(count), "int64"), np.zeros(len(count), "int64")
         source[seen.pairs], label[seen.pairs] = number[seen.contexts], self.words
+        # In the order of the texts, so that arcs of one text lie together in memory.
+        first = np.zeros(len(count), "int64")
+        first[seen.pairs[::-1]] = np.arange(len(seen.pairs))[::-1]
         arcs = np.flatnonzero(is_pair & (count > 0))
+        arcs = arcs[np.argsort(first[arcs])]
         source, label = source[arcs], label[arcs]
         weights = smoothing.arc_weights(of_words[label], of_words[source], count[arcs])
         self.arcs = dict(zip((source * self.root + label).tolist(), weights.tolist(), strict=True))
@@ -258,18 +269,14 @@ class Automaton:
         return total
 
 
-def _seen(rows: pd.DataFrame, answers: pd.DataFrame) -> Seen:
-    """A block's documents as places among its distinct keys, and the keys' counts."""
-    tokens, pairs, sizes = _read(rows["text"].tolist())
-    keys, place = _needed(tokens, pairs)
+def _answered(rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[Tokens, np.ndarray]:
+    """A block's tokens, and the training count of each of its keys."""
+    read = _read(rows["text"].tolist())
     blobs = answers.sort_values("bucket")["counts"]
     totals = np.concatenate([_grow(blob) for blob in blobs]).astype("float64")
-    if len(totals) != len(keys):
+    if len(totals) != len(read.keys):
         raise RuntimeError("a block has changed since it asked for its counts")
-    words = place[1 : 1 + len(tokens)]
-    contexts = np.roll(words, 1)
-    contexts[np.cumsum(sizes) - sizes] = place[0]
-    return Seen(keys, totals, sizes, int(place[0]), words, place[1 + len(tokens) :], contexts)
+    return read, totals
 
 
 EVIDENCE = record(doubling=T.IntegerType(), tried=T.IntegerType(), fit=T.DoubleType())
@@ -282,16 +289,26 @@ def _witness(tokens_in_all: int, words: int):
     def witness(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and rows["train"].any():
-            seen = _seen(rows, answers)
-            word, state, pair = (seen.totals[at] for at in (seen.words, seen.contexts, seen.pairs))
-            # A state seen once has no arc left without its only token.
-            use = np.repeat(rows["train"].to_numpy("bool"), seen.sizes) & (state > 1)
-            own = (pair[use] - 1) / (state[use] - 1)
-            root = word[use] / all_but_one
-            doubling = _doublings(state[use] - 1)
+            read, totals = _answered(rows, answers)
+            learn = np.repeat(rows["train"].to_numpy("bool"), read.sizes)
+            # Every pair once, with its number of training tokens here. A state seen once has
+            # no arc left without its only token.
+            times = np.bincount(read.pairs[learn], minlength=len(totals))
+            word, state = np.zeros(len(totals)), np.zeros(len(totals))
+            word[read.pairs], state[read.pairs] = totals[read.words], totals[read.contexts]
+            use = np.flatnonzero((times > 0) & (state > 1))
+            times, word, state, pair = times[use], word[use], state[use], totals[use]
+            doubling = _doublings(state - 1)
+            # Without what all shares have in common, the root's part: a token's probability
+            # over that of the root's arc is 1 - share if its arc is gone without it.
+            gone = pair == 1
+            alone = np.bincount(doubling[gone], weights=times[gone], minlength=DOUBLINGS)
+            more = (pair - 1) / (state - 1) * all_but_one / word - 1
+            more, times, left = more[~gone], times[~gone], doubling[~gone]
             for at, share in enumerate(TRIED):
-                fit = np.bincount(doubling, weights=np.log(share * own + (1 - share) * root))
-                out += [(d, at, float(fit[d])) for d in np.flatnonzero(fit).tolist()]
+                fit = np.bincount(left, weights=times * np.log1p(share * more), minlength=DOUBLINGS)
+                fit += alone * np.log1p(-share)
+                out += [(d, at, float(fit[d])) for d in np.unique(doubling).tolist()]
         return pd.DataFrame(out, columns=[f.name for f in EVIDENCE])
 
     return witness
@@ -324,12 +341,12 @@ def _scorer(words: int, tokens_in_all: int, key_type: T.DataType, shares: Sequen
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[f.name for f in schema])
-        seen = _seen(rows, answers)
-        begins = np.cumsum(seen.sizes) - seen.sizes
-        count = seen.totals[seen.words]
+        read, totals = _answered(rows, answers)
+        begins = np.cumsum(read.sizes) - read.sizes
+        count = totals[read.words]
         base = smoothing.root_weights(count)
-        automaton = Automaton(smoothing, seen)
-        ends = (begins + seen.sizes).tolist()
+        automaton = Automaton(smoothing, read, totals)
+        ends = (begins + read.sizes).tolist()
         scores = [
             automaton.walk(automaton.words[at:end].tolist())
             for at, end in zip(begins.tolist(), ends, strict=True)
@@ -338,7 +355,7 @@ def _scorer(words: int, tokens_in_all: int, key_type: T.DataType, shares: Sequen
             {
                 "doc_id": rows["key"].to_numpy(),
                 "held_out": ~rows["train"].to_numpy(),
-                "n_tokens": seen.sizes,
+                "n_tokens": read.sizes,
                 "n_known": np.add.reduceat((count > 0).astype("int64"), begins),
                 "train_tokens": tokens_in_all,
                 "base_score": np.add.reduceat(base, begins),
