@@ -25,12 +25,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import ascii_words, held_out, prepare, record
+from sluiceway.llm.common import held_out, prepare, record
 from sluiceway.session import stored
 
 FOLDS, TEST_FOLD = 7, 2
@@ -69,17 +71,27 @@ def _key(word: bytes, seed: int = 0) -> int:
 _END_KEY = _key(b"end", 1)
 
 
-class _Numbers(dict):
-    """Numbers of the different words met, as they come; 0 is the end of a document."""
+def _numbered(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's words, split and numbered by Arrow without a Python object for each token.
 
-    def __init__(self):
-        super().__init__()
-        self.keys_of = [_END_KEY]
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self.keys_of)
-        self.keys_of.append(_key(word))
-        return found
+    Returns the key of each number, the numbers of all tokens, and the tokens of each text;
+    number 0 is the end, which follows the words of a text. Words are those of
+    :func:`sluiceway.llm.common.ascii_words`.
+    """
+    raw = [text.encode("utf-8", "surrogatepass") if text else b"" for text in texts]
+    column = pa.array(raw, pa.large_binary())
+    # The same bytes as text, not validated again: only ASCII bytes are looked at.
+    column = pa.LargeStringArray.from_buffers(len(raw), column.buffers()[1], column.buffers()[2])
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    words = parts.flatten()
+    # White space at either end of a text leaves an empty part there.
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(filled)])[np.cumsum(pc.list_value_length(parts).to_numpy())]
+    coded = words.filter(pa.array(filled)).dictionary_encode()
+    different = coded.dictionary.cast(pa.large_binary(), safe=False).to_numpy(zero_copy_only=False)
+    keys = np.fromiter(map(_key, different), "uint64", len(different))
+    number = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype("int64") + 1, ends, 0)
+    return np.append(np.uint64(_END_KEY), keys), number, np.diff(ends, prepend=0) + 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,17 +112,8 @@ class Tokens(NamedTuple):
 
 
 def _read(texts: list[str | None]) -> Tokens:
-    numbers, parts, sizes = _Numbers(), [], []
-    for text in texts:
-        words = ascii_words(text)
-        part = np.zeros(len(words) + 1, "int64")
-        part[:-1] = np.fromiter(map(numbers.__getitem__, words), "int64", len(words))
-        parts.append(part)
-        sizes.append(len(words) + 1)
-    number = np.concatenate(parts) if parts else np.empty(0, "int64")
-    counts = np.array(sizes, "int64")
+    key_of, number, counts = _numbered(texts)
     begins = np.cumsum(counts) - counts
-    key_of = np.array(numbers.keys_of, "uint64")
     tokens = key_of[number]
     before = np.roll(tokens, 1)
     before[begins] = _BEGIN_KEY
