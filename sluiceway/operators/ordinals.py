@@ -70,28 +70,28 @@ def _inside_keys(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     Only the first key of a range can go on from ranges before, all of which end with it.
     """
     key = F.struct(*keys)
-    ends = stored(
-        rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last")), "ends"
-    )
-    last = (
-        rows.select("_part", key.alias("_key"))
-        .join(ends, "_part")
-        .groupBy("_part")
-        .agg(F.count_if(F.col("_key").eqNullSafe(F.col("_last"))).alias("_rows"))
-    )
-    # One row per range from here on.
-    asks = ends.select("_part", F.col("_first").alias("_key"), F.lit(0).alias("_rows"), F.lit(True).alias("_asks"))
-    gives = ends.join(last, "_part").select(
-        "_part", F.col("_last").alias("_key"), "_rows", F.lit(False).alias("_asks")
+    # The largest key with its first row: rows lie in order, so the rest of the range has it.
+    ends = rows.groupBy("_part").agg(
+        F.min(key).alias("_first"),
+        F.max(F.struct(key.alias("key"), (-F.col("_row")).alias("back"))).alias("_last"),
+        F.max("_row").alias("_end"),
     )
+    # Two rows per range from here on.
+    asks = F.struct(F.col("_first").alias("_key"), F.lit(0).cast("bigint").alias("_rows"), F.lit(True).alias("_asks"))
+    in_last = F.col("_end") + F.col("_last.back") + 1
+    gives = F.struct(F.col("_last.key").alias("_key"), in_last.alias("_rows"), F.lit(False).alias("_asks"))
     before = Window.partitionBy("_key").orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
-    carried = asks.unionByName(gives).withColumn("_carry", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    carried = stored(
-        carried.where("_asks").select("_part", F.col("_key").alias("_first"), "_carry"), "carried"
+    carried = (
+        ends.select("_part", F.inline(F.array(asks, gives)))
+        .withColumn("_carry", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .where("_asks")
+        .select("_part", "_carry")
     )
     inside = Window.partitionBy("_part", *keys).orderBy("_row")
-    numbered = rows.withColumn("_inside", F.row_number().over(inside)).join(carried, "_part")
-    carry = F.when(key.eqNullSafe(F.col("_first")), F.col("_carry")).otherwise(F.lit(0))
+    numbered = rows.withColumn("_inside", F.row_number().over(inside)).join(F.broadcast(carried), "_part")
+    # A row of the range's first key is as far into the range as into its key.
+    of_first = F.col("_inside") == F.col("_row").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + 1
+    carry = F.when(of_first, F.col("_carry")).otherwise(F.lit(0))
     return numbered.withColumn(name, (F.col("_inside") + carry).cast("bigint"))
 
 

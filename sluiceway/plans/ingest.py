@@ -29,6 +29,7 @@ from sluiceway.sinks.tables import (
     batch_path,
     ensure_table,
     overwrite_batch,
+    window_files,
     with_retries,
     write_batch,
     written_files,
@@ -67,6 +68,13 @@ class IngestResult:
             return spark.createDataFrame([], f"path STRING, `{self.key}` BIGINT, rows BIGINT")
         return written_files(spark.read.parquet(self.target), self.key)
 
+    def window_files(self, spark: SparkSession) -> DataFrame:
+        """Where the count windows of this batch lie: batch_no, key, path, rows."""
+        if self.target is None or not self.written:
+            columns = f"{COUNT_WINDOW} BIGINT, `{self.key}` BIGINT, path STRING, rows BIGINT"
+            return spark.createDataFrame([], columns)
+        return window_files(spark.read.parquet(self.target), COUNT_WINDOW, self.key)
+
 
 def typed_messages(
     messages: DataFrame,
@@ -106,14 +114,18 @@ def ingest_batch(
     row can be written ends like any other. Running a batch again overwrites it.
 
     With ``window`` the rows lie in a directory per arrival window, by the time in ``ts``;
-    with ``count_size`` in one per ``count_size`` valid messages, in the order of the
-    columns ``order_by`` of the messages and after ``start`` messages of earlier batches.
+    with ``count_size`` every ``count_size`` valid messages form a window, in the order of the
+    columns ``order_by`` of the messages and after ``start`` messages of earlier batches. These
+    windows are many and small, so they get no directories: ``batch_no`` is a column by which
+    the files of a key are sorted, and a read of one window skips by its bounds in them.
     """
     if (path is None) == (table is None):
         raise ValueError("give either a path or a table")
     if count_size is not None and (window is not None or table is not None or not order_by):
         raise ValueError("count windows need order_by and a path, and no arrival window")
     schema = message_schema(schema)
+    if count_size is not None and COUNT_WINDOW in schema.names:
+        raise ValueError(f"a message with count windows has no field {COUNT_WINDOW}")
     spark = messages.sparkSession
     outer: tuple[str, ...] = ()
     if window is not None:
@@ -133,10 +145,10 @@ def ingest_batch(
         rows = accepted(kept).select(*outer, *carried, *schema.names)
         if count_size:
             rows = count_windows(rows, count_size, list(carried), start)
-            outer = (COUNT_WINDOW,)
-        rows = rows.select(*outer, *schema.names)
+        inner = (COUNT_WINDOW,) if count_size else ()
+        rows = rows.select(*outer, *inner, *schema.names)
         attempt, done = _put(
-            rows, path, table, batch_id, key, outer, salt, max_attempts, delay, schema, table_format
+            rows, path, table, batch_id, key, outer, inner, salt, max_attempts, delay, schema, table_format
         )
         if not done:
             raise WriteFailed(f"batch {batch_id} failed in {max_attempts} attempts")
@@ -174,6 +186,7 @@ def _put(
     batch_id: int,
     key: str,
     outer: tuple[str, ...],
+    inner: tuple[str, ...],
     salt: int,
     max_attempts: int,
     delay: float,
@@ -182,7 +195,7 @@ def _put(
 ) -> tuple[int, bool]:
     if path is not None:
         return write_batch(
-            rows, path, batch_id, key, max_attempts, delay, salt=salt, outer=outer
+            rows, path, batch_id, key, max_attempts, delay, inner, salt, outer
         )
     columns = [T.StructField(name, T.LongType()) for name in outer]
     whole = T.StructType([*columns, *schema.fields, T.StructField(BATCH, T.LongType())])

@@ -255,6 +255,13 @@ def written_files(table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def window_files(table: DataFrame, window: str, key: str) -> DataFrame:
+    """One row per window, key and file that has rows of both: window, key, path, rows."""
+    return table.groupBy(window, key, F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("rows")
+    )
+
+
 def manifest(table: DataFrame, key: str) -> DataFrame:
     """Files and rows per key of a table read from files."""
     return table.groupBy(key).agg(
